@@ -8,7 +8,8 @@ copies the common original) is compared with the rest, then a second pivot with
 what the first left apart, and only members that are still in different
 components are compared exhaustively, minority against all.  Pairs that are
 already connected need no comparison, so components are those of the full graph
-of candidate links.  Every link is confirmed on the full sets.
+of candidate links.  A pair's longer signatures are compared first; what they leave
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -105,6 +106,50 @@ def _signer(k: int, bands: int, rows: int):
     return run
 
 
+#: Universal hash minima, one byte of each, that a signature has.
+SIGNATURE = 256
+
+
+def _sketcher(k: int):
+    rng = np.random.default_rng(21)
+    a = rng.integers(0, 1 << 63, SIGNATURE, dtype=U) * U(2) + U(1)
+    b = rng.integers(0, 1 << 63, SIGNATURE, dtype=U)
+
+    def run(batches):
+        for batch in batches:
+            signs = [
+                mix(minima(x, a, b)).astype(np.uint8).tobytes()
+                for x in shingle_sets(batch.column("text"), k)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(signs, pa.binary())], ["doc_id", "text", "sign"]
+            )
+
+    return run
+
+
+def _plausible(percent: int):
+    """Pairs whose signatures agree as often as a pair at the threshold does,
+    less six standard deviations (a chance of 1e-9 to lose a link)."""
+    p = percent / 100
+    least = SIGNATURE * (p - 6 * (p * (1 - p) / SIGNATURE) ** 0.5)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+                for c in ("sa", "sb")
+            )
+            mask = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"]
+            )
+
+    return run
+
+
 def _verifier(k: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -165,11 +210,19 @@ def near_duplicates(
     members = scratch.table(met.join(score, "rep").select("key", "rep", "n", "score"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     held = scratch.table(
-        texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "held"
+        texts.join(wanted, "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(_sketcher(shingle), "doc_id long, text string, sign binary"),
+        "held",
     )
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(
+        signs = pairs.join(
+            held.select(F.col("doc_id").alias("a"), F.col("sign").alias("sa")), "a"
+        ).join(held.select(F.col("doc_id").alias("b"), F.col("sign").alias("sb")), "b")
+        near = signs.select("a", "b", "sa", "sb").mapInArrow(_plausible(percent), "a long, b long")
+        near = scratch.table(near, f"{name}-near")
+        both = near.join(
             held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
         ).join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.table(
