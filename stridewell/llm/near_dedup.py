@@ -6,7 +6,7 @@ minima and meet in band buckets.  A bucket is not expanded into its pairs: a
 pivot (the member that meets most others over all bands, in a group of edited
 copies the common original) is compared with the rest, then a second pivot with
 what the first left apart, and only members that are still in different
-components are compared exhaustively, minority against all.  Pairs that are
+components are joined with their buckets' members, by prefix filtering.  Pairs
 already connected need no comparison, so components are those of the full graph
 of candidate links.  A pair's longer signatures are compared first; what they leave
 is confirmed on the full sets.
@@ -167,6 +167,88 @@ def _verifier(k: int, percent: int):
     return run
 
 
+#: Counters of shingle frequency: a fixed number, whatever the corpus.
+COUNTERS = 1 << 17
+#: Ratio of the set sizes that one bin of the prefix join spans.
+STEP = 1.05
+
+
+def _counted(k: int):
+    def run(batches):
+        for batch in batches:
+            total = np.zeros(COUNTERS, np.int64)
+            for items in shingle_sets(batch.column("text"), k):
+                total += np.bincount((items % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"]
+            )
+
+    return run
+
+
+def _prefixes(k: int, percent: int, counts: np.ndarray):
+    """Rows that two sets of the wanted similarity must share.
+
+    Of a pair the larger set (ties either way) is 'large'.  Sets of sizes m <= n
+    with Jaccard at least t share at least t (m + n) / (1 + t) shingles, so, in
+    any one order, one of the first m - that + 1 of one is among the first
+    n - that + 1 of the other.  The order is from rare to frequent: what is a
+    text's own comes first, so edited copies do not meet by what all share.
+    The large one sends a prefix for each bin of sizes of the small one, for
+    the least size in the bin; the small one for its own bin, as if n were m.
+    """
+    t = percent / 100
+
+    def first_of(size: int) -> int:
+        return int(np.floor(np.log(size) / np.log(STEP)))
+
+    def least_in(bin_: int) -> int:
+        size = max(1, int(np.floor(STEP**bin_)) - 1)
+        while first_of(size) < bin_:
+            size += 1
+        return size
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            comps = batch.column("comp").to_pylist()
+            outs = batch.column("out").to_pylist()
+            token, bins, large, doc = [], [], [], []
+
+            def send(items, n, bin_, big, i):
+                token.append(items[:n].view(np.int64))
+                bins.append(np.full(n, bin_, np.int32))
+                large.append(np.full(n, big))
+                doc.append(np.full(n, i))
+
+            for i, items in enumerate(shingle_sets(batch.column("text"), k)):
+                n = len(items)
+                items = items[np.lexsort((items, counts[(items % U(COUNTERS)).astype(np.int64)]))]
+                need = int(np.ceil(2 * t / (1 + t) * n - 1e-9))
+                send(items, n - need + 1, first_of(n), False, i)
+                for bin_ in range(first_of(max(1, int(np.ceil(t * n - 1e-9)))), first_of(n) + 1):
+                    m = max(least_in(bin_), int(np.ceil(t * n - 1e-9)))
+                    if m > n:
+                        continue
+                    need = int(np.ceil(t / (1 + t) * (m + n) - 1e-9))
+                    send(items, n - need + 1, bin_, True, i)
+            which = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)),
+                    pa.array(np.concatenate(bins) if bins else np.zeros(0, np.int32)),
+                    pa.array(np.concatenate(large) if large else np.zeros(0, bool)),
+                    pa.array(np.array(ids, np.int64)[which]),
+                    pa.array(np.array(comps, np.int64)[which]),
+                    pa.array(np.array(outs, bool)[which]),
+                ],
+                ["token", "bin", "large", "doc_id", "comp", "out"],
+            )
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -265,19 +347,44 @@ def near_duplicates(
     links = links.union(confirm(second, "links-2"))
     labels = components(scratch, links, "c2")
 
-    # What is in other components than the bucket's main one, against all of
-    # the bucket: complete, as pairs inside one component are connected.
+    # Members in other components than their bucket's main one are joined with
+    # all members of such buckets, completely but without forming their pairs:
+    # by prefix filtering on the sets.
     apart = unsettled("apart-2")
-    minor = apart.where("comp <> main").select(
-        "key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("other")
+    roles = apart.groupBy(F.col("rep").alias("doc_id")).agg(
+        F.max(F.col("comp") != F.col("main")).alias("out"), F.first("comp").alias("comp")
     )
-    last = (
-        apart.join(minor, "key")
-        .where(
-            "comp <> other and (comp = main or rep < pivot)"
+    sets = scratch.table(held.select("doc_id", "text").join(roles, "doc_id"), "apart-sets")
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in (
+        sets.select("text")
+        .mapInArrow(_counted(shingle), "bucket int, n long")
+        .groupBy("bucket")
+        .agg(F.sum("n").alias("n"))
+        .collect()  # at most COUNTERS rows
+    ):
+        counts[row[0]] = row[1]
+    prefixes = scratch.table(
+        sets.mapInArrow(
+            _prefixes(shingle, percent, counts),
+            "token long, bin int, large boolean, doc_id long, comp long, out boolean",
+        ),
+        "prefixes",
+    )
+
+    def side(large: bool, out: bool, name: str) -> DataFrame:
+        rows = prefixes.where(F.col("large") if large else ~F.col("large"))
+        rows = rows.where("out") if out else rows
+        return rows.select("token", "bin", F.col("doc_id").alias(name), F.col("comp").alias(f"c{name}"))
+
+    def shared(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, ["token", "bin"]).where("cx <> cy").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         )
-        .where(fits)
-        .select(*pair)
+
+    last = (
+        shared(side(False, True, "x"), side(True, False, "y"))
+        .union(shared(side(False, False, "x"), side(True, True, "y")))
         .distinct()
         .join(tried.union(second), ["a", "b"], "left_anti")
     )
