@@ -91,50 +91,66 @@ def _by_doc(doc, key, buckets):
     return (doc % buckets).astype(np.int32)
 
 
-class _Document:
-    """Windows of one document at each level."""
-
-    def __init__(self, hashes: np.ndarray, second: np.ndarray, target: int):
-        self.hashes, self.second, self.target = hashes, second, target
-
-    def sampled(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the length-k windows and, per target window, the least
-        of those in it."""
-        short = gram_hashes(self.hashes, k)
-        return short, window_min(short, self.target - k + 1)
-
-    def starts(self, k: int, alive: np.ndarray, first: bool) -> np.ndarray:
-        """Which target windows hold a live window of length k: for the first
-        level their sampled one, later any that begins where they begin."""
-        if first:
-            return np.isin(self.sampled(k)[1], alive)
-        own = gram_hashes(self.hashes, k)[: len(self.hashes) - self.target + 1]
-        return np.isin(own, alive)
-
-
-def _hashed(batch, target: int):
-    """(row, _Document, data, starts, ends) for texts with a target window."""
-    for lo, hi, data, offsets in text_slices(batch.column("text")):
-        starts, ends, first = words(data, offsets, NOT_SPACE)
-        one = word_hashes(data, starts, ends, 1)
-        two = word_hashes(data, starts, ends, 2)
-        for i in range(hi - lo):
-            a, b = first[i], first[i + 1]
-            yield lo + i, _Document(one[a:b], two[a:b], target), data, starts[a:b], ends[a:b]
+class _Slice:
+    """Texts laid end to end: word hashes, and windows that stay in a text."""
+
+    def __init__(self, lo: int, data: np.ndarray, offsets: np.ndarray, target: int):
+        self.lo, self.data, self.target = lo, data, target
+        self.starts, self.ends, self.first = words(data, offsets, NOT_SPACE)
+        self.hashes = word_hashes(data, self.starts, self.ends, 1)
+        sizes = np.diff(self.first)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)  # text of each word
+        n = max(0, len(self.hashes) - target + 1)
+        #: Starts of target windows, and their texts.
+        self.at = np.flatnonzero(self.row[:n] == self.row[len(self.row) - n :])
+        self.own = self.row[self.at]
+
+    def sampled(self, k: int) -> np.ndarray:
+        """Of each target window the least hash of the length-k windows in it."""
+        return window_min(gram_hashes(self.hashes, k), self.target - k + 1)[self.at]
+
+    def begun(self, k: int) -> np.ndarray:
+        """Hash of the length-k window each target window begins with."""
+        return gram_hashes(self.hashes, k)[self.at]
+
+    def second(self, k: int) -> np.ndarray:
+        two = gram_hashes(word_hashes(self.data, self.starts, self.ends, 2), k, seed=2)
+        return (two[self.at] >> U(32)).astype(np.uint32)
+
+    def alive(self, keys: np.ndarray, ids: list, alive: dict) -> np.ndarray:
+        """Which target windows' keys are among the survivors of their text."""
+        held = [alive.get(ids[self.lo + i]) for i in range(len(self.first) - 1)]
+        texts = [i for i, x in enumerate(held) if x]
+        if not texts or len(keys) == 0:
+            return np.zeros(len(keys), bool)
+        parts = [np.concatenate(held[i]) + U(i) * _SPREAD for i in texts]
+        known = np.sort(np.concatenate(parts))
+        keys = keys + self.own.astype(U) * _SPREAD
+        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+_SPREAD = U(0x9E3779B97F4A7C15)
+
+
+def _slices(batch, target: int):
+    for lo, _, data, offsets in text_slices(batch.column("text")):
+        yield _Slice(lo, data, offsets, target)
 
 
 def _first_level(k: int, target: int, buckets: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            known = batch.column("doc_id").is_valid()
+            batch = batch.filter(known)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             out: tuple[list, list, list] = ([], [], [])
-            for row, doc, *_ in _hashed(batch, target):
-                if ids[row] is None:
-                    continue
-                keys = np.unique(doc.sampled(k)[1])
-                out[0].append(np.full(len(keys), ids[row], np.int64))
-                out[1].append(keys)
-                out[2].append(np.zeros(len(keys), np.uint32))
+            for x in _slices(batch, target):
+                keys = x.sampled(k)
+                new = np.ones(len(keys), bool)  # neighbours mostly share theirs
+                new[1:] = (keys[1:] != keys[:-1]) | (x.own[1:] != x.own[:-1])
+                out[0].append(ids[x.lo + x.own[new]])
+                out[1].append(keys[new])
+                out[2].append(np.zeros(int(new.sum()), np.uint32))
             yield from _send(*out, _by_hash, buckets)
 
     return run
@@ -196,53 +212,70 @@ def _repeated(buckets: int, final: bool):
     return run
 
 
+def _packed_texts(buckets: int):
+    """Texts by bucket of their document, compressed together: they cross the
+    shuffle once a level, and pack far better than row by row."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            to = (ids % buckets).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            batch, to = batch.take(pa.array(order)), to[order]
+            cut = np.flatnonzero(np.diff(to, prepend=-1))
+            bodies = []
+            for lo, hi in zip(cut, [*cut[1:], len(to)]):
+                sink = pa.BufferOutputStream()
+                options = pa.ipc.IpcWriteOptions(compression="zstd")
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    # taken, not sliced: a slice would write the whole buffers
+                    out.write_batch(batch.take(pa.array(np.arange(lo, hi))))
+                bodies.append(sink.getvalue().to_pybytes())
+            none = pa.nulls(len(cut), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[cut], pa.int32()), none, none, pa.array(bodies, pa.binary())],
+                ["bucket", "docs", "hashes", "body"],
+            )
+
+    return run
+
+
 def _with_survivors(batches):
-    """(batch of texts, {doc: hashes}) with the packed survivors, which come
-    first in their bucket, unpacked."""
+    """(texts, {doc: hashes}) with the packed survivors, which come first in
+    their bucket, unpacked."""
     alive: dict[int, list] = defaultdict(list)
     bucket = None
     for batch in batches:
-        here = batch.column("bucket").to_numpy(zero_copy_only=False)
-        tag = batch.column("tag").to_numpy(zero_copy_only=False)
-        for lo in [0, *(np.flatnonzero(np.diff(here) | np.diff(tag)) + 1)]:
-            hi = lo + 1
-            while hi < len(here) and here[hi] == here[lo] and tag[hi] == tag[lo]:
-                hi += 1
-            if here[lo] != bucket:
+        for here, docs, hashes, body in zip(*(batch.column(c) for c in ("bucket", "docs", "hashes", "body"))):
+            if here.as_py() != bucket:
                 alive.clear()
-                bucket = here[lo]
-            part = batch.slice(lo, hi - lo)
-            if tag[lo]:
-                yield part, alive
+                bucket = here.as_py()
+            if body.is_valid:
+                with pa.ipc.open_stream(body.as_buffer()) as texts:
+                    for part in texts:
+                        yield part, alive
                 continue
-            for raw, keys in zip(part.column("docs"), part.column("hashes")):
-                doc, key = _unpack_ids(raw.as_py()), np.frombuffer(keys.as_py(), U)
-                order = np.argsort(doc, kind="stable")
-                doc, key = doc[order], key[order]
-                cut = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-                for a, b in zip(cut, [*cut[1:], len(doc)]):
-                    alive[int(doc[a])].append(key[a:b])
-
-
-_NONE = [np.zeros(0, U)]
+            doc, key = _unpack_ids(docs.as_py()), np.frombuffer(hashes.as_py(), U)
+            order = np.argsort(doc, kind="stable")
+            doc, key = doc[order], key[order]
+            cut = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
+            for a, b in zip(cut, [*cut[1:], len(doc)]):
+                alive[int(doc[a])].append(key[a:b])
 
 
 def _next_level(k: int, wider: int, first: bool, target: int, buckets: int):
     def run(batches):
         for batch, alive in _with_survivors(batches):
             ids = batch.column("doc_id").to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            some = pa.array([x in alive for x in ids], pa.bool_())
+            batch = batch.filter(pa.array([x in alive for x in ids], pa.bool_()))
             ids = [x for x in ids if x in alive]
-            for row, doc, *_ in _hashed(batch.filter(some), target):
-                own = np.concatenate(alive[ids[row]])
-                live = np.flatnonzero(doc.starts(k, own, first))
-                keys = gram_hashes(doc.hashes, wider)[live]
-                mark = gram_hashes(doc.second, wider, seed=2)[live] >> U(32)
-                pairs = np.unique(np.rec.fromarrays([keys, mark.astype(np.uint32)]))
-                out[0].append(np.full(len(pairs), ids[row], np.int64))
-                out[1].append(np.ascontiguousarray(pairs["f0"]))
-                out[2].append(np.ascontiguousarray(pairs["f1"]))
+            number = np.array(ids, np.int64)
+            out: tuple[list, list, list] = ([], [], [])
+            for x in _slices(batch, target):
+                live = x.alive(x.sampled(k) if first else x.begun(k), ids, alive)
+                out[0].append(number[x.lo + x.own[live]])
+                out[1].append(x.begun(wider)[live])
+                out[2].append(x.second(wider)[live])
             yield from _send(*out, _by_hash, buckets)
 
     return run
@@ -253,29 +286,30 @@ def _remove(target: int):
         for batch, alive in _with_survivors(batches):
             ids = batch.column("doc_id").to_pylist()
             n_words, n_removed, digests, texts = [], [], [], []
-            for row, doc, data, starts, ends in _hashed(batch, target):
-                n = len(starts)
-                keep = np.ones(n, bool)
-                if n >= target and ids[row] in alive:
-                    hit = np.isin(
-                        gram_hashes(doc.hashes, target), np.concatenate(alive[ids[row]])
-                    )
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, np.flatnonzero(hit), 1)
-                    np.add.at(edge, np.flatnonzero(hit) + target, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                kept = _joined(data, starts[keep], ends[keep])
-                n_words.append(n)
-                n_removed.append(n - int(keep.sum()))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "replace"))
+            for x in _slices(batch, target):
+                hit = x.at[x.alive(x.begun(target), ids, alive)]
+                n = len(x.starts)
+                edge = np.bincount(hit, minlength=n + 1) - np.bincount(
+                    hit + target, minlength=n + 1
+                )
+                keep = np.cumsum(edge[:n]) == 0
+                text, sizes = _joined(x.data, x.starts[keep], x.ends[keep])
+                kept = np.concatenate([[0], np.cumsum(keep)])[x.first]
+                at = np.concatenate([[0], np.cumsum(sizes)])[kept].tolist()
+                total = np.diff(x.first)
+                n_words.append(total)
+                n_removed.append(total - np.diff(kept))
+                for a, b in zip(at, at[1:]):
+                    own = text[a : max(a, b - 1)]
+                    digests.append(hashlib.sha256(own).hexdigest())
+                    texts.append(own)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
+                    pa.array(np.concatenate(n_words or [np.zeros(0, np.int64)])),
+                    pa.array(np.concatenate(n_removed or [np.zeros(0, np.int64)])),
                     pa.array(digests, pa.string()),
-                    pa.array(texts, pa.string()),
+                    pa.array(texts, pa.binary()).cast(pa.string()),
                 ],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
@@ -283,18 +317,18 @@ def _remove(target: int):
     return run
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """The words, one space between each, as bytes."""
-    if len(starts) == 0:
-        return b""
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Each word followed by one space, and the words' sizes with it."""
     sizes = ends - starts + 1
+    if len(starts) == 0:
+        return b"", sizes
     at = np.cumsum(sizes)
     step = np.ones(int(at[-1]), np.int64)
     step[0] = starts[0]
     step[at[:-1]] = starts[1:] - ends[:-1]
     out = data[np.minimum(np.cumsum(step), len(data) - 1)]
     out[at - 1] = 32
-    return out[:-1].tobytes()
+    return out.tobytes(), sizes
 
 
 def remove_repeats(
@@ -302,7 +336,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     target: int = 13,
-    start: int = 5,
+    start: int = 7,
     with_text: bool = True,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and
@@ -315,34 +349,19 @@ def remove_repeats(
     rows.  Windows are told apart by 96 bits of two hashes.
     """
     spark = docs.sparkSession
-    buckets = partitions_for(docs, 8 << 20)
+    buckets = partitions_for(docs, 16 << 20)
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     steps = levels(min(start, target), target)
-    placed = texts.select(
-        F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int").alias("bucket"),
-        F.lit(1).alias("tag"),
-        "doc_id",
-        "text",
-        F.lit(None).cast("binary").alias("docs"),
-        F.lit(None).cast("binary").alias("hashes"),
+    placed = texts.mapInArrow(
+        _packed_texts(buckets), "bucket int, docs binary, hashes binary, body binary"
     )
 
     def met(survivors: DataFrame) -> DataFrame:
-        back = survivors.select(
-            "bucket",
-            F.lit(0).alias("tag"),
-            F.lit(None).cast("long").alias("doc_id"),
-            F.lit(None).cast("string").alias("text"),
-            "docs",
-            "hashes",
-        )
-        return (
-            back.union(placed)
-            .repartition(buckets, "bucket")
-            .sortWithinPartitions("bucket", "tag")
-        )
+        back = survivors.select("bucket", "docs", "hashes", F.lit(None).cast("binary").alias("body"))
+        tagged = back.withColumn("tag", F.lit(0)).union(placed.withColumn("tag", F.lit(1)))
+        return tagged.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag")
 
     def reduced(sent: DataFrame, final: bool) -> DataFrame:
         return sent.repartition(buckets, "bucket").mapInArrow(_repeated(buckets, final), PACKED)
