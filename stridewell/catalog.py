@@ -1,4 +1,16 @@
 """All queries by name, and their statements in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stridewell.operators import (  # noqa: F401  (importing registers)
+    change,
+    evaluation,
+    integrity,
+    progress,
+    rollup,
+    segments,
+    timeline,
+    vectors,
+)
+from stridewell.registry import ORACLES, QUERIES
+from stridewell.streaming import status  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
