@@ -318,15 +318,23 @@ def near_duplicates(
     pair = (F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     def star(rest: DataFrame, at: DataFrame) -> DataFrame:
+        """Members of other components with the pivot: the member of ``at``
+        that has the highest score in the bucket."""
         best = at.groupBy("key").agg(
-            F.max(F.struct("score", (-F.col("rep")).alias("low"), F.col("n").alias("m"))).alias("p")
+            F.max(
+                F.struct(
+                    "score", (-F.col("rep")).alias("low"), F.col("n").alias("m"), F.col("comp")
+                )
+            ).alias("p")
         )
-        best = best.select("key", (-F.col("p.low")).alias("pivot"), F.col("p.m").alias("m"))
-        return rest.join(best, "key").where(F.col("rep") != F.col("pivot")).where(fits)
-
-    links = confirm(star(members, members).select(*pair).distinct(), "links-1")
-    tried = star(members, members).select(*pair).distinct()
-    labels = components(scratch, links, "c1")
+        best = best.select(
+            "key",
+            (-F.col("p.low")).alias("pivot"),
+            F.col("p.m").alias("m"),
+            F.col("p.comp").alias("other"),
+            F.col("p.score").alias("weight"),
+        )
+        return rest.join(best, "key").where("comp <> other").where(fits)
 
     def unsettled(name: str) -> DataFrame:
         """Members of buckets that still hold several components."""
@@ -341,16 +349,29 @@ def near_duplicates(
         split = split.where("lo < hi").select("key", F.col("p.comp").alias("main"))
         return scratch.table(named.join(split, "key"), name)
 
-    apart = unsettled("apart-1")
-    second = star(apart, apart.where("comp <> main")).select(*pair).distinct()
-    second = second.join(tried, ["a", "b"], "left_anti")
-    links = links.union(confirm(second, "links-2"))
-    labels = components(scratch, links, "c2")
+    # One pivot for each member, the best over its buckets; then the pivots of
+    # buckets that are still apart; then a second pivot there.
+    own = members.withColumn("comp", F.col("rep"))
+    first = star(own, own).groupBy("rep").agg(
+        F.max(F.struct("weight", (-F.col("pivot")).alias("low"))).alias("p")
+    )
+    tried = first.select("rep", (-F.col("p.low")).alias("pivot")).select(*pair).distinct()
+    tried = scratch.table(tried, "tried-1")
+    links = confirm(tried, "links-1")
+    labels = components(scratch, links, "c1")
+    for k in (2, 3):
+        apart = unsettled(f"apart-{k}")
+        more = star(apart, apart if k == 2 else apart.where("comp <> main"))
+        more = more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+        more = scratch.table(more, f"tried-{k}")
+        tried = tried.union(more)
+        links = links.union(confirm(more, f"links-{k}"))
+        labels = components(scratch, links, f"c{k}")
 
     # Members in other components than their bucket's main one are joined with
     # all members of such buckets, completely but without forming their pairs:
     # by prefix filtering on the sets.
-    apart = unsettled("apart-2")
+    apart = unsettled("apart-4")
     roles = apart.groupBy(F.col("rep").alias("doc_id")).agg(
         F.max(F.col("comp") != F.col("main")).alias("out"), F.first("comp").alias("comp")
     )
@@ -386,10 +407,10 @@ def near_duplicates(
         shared(side(False, True, "x"), side(True, False, "y"))
         .union(shared(side(False, False, "x"), side(True, True, "y")))
         .distinct()
-        .join(tried.union(second), ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
-    links = links.union(confirm(last, "links-3"))
-    labels = components(scratch, links, "c3")
+    links = links.union(confirm(last, "links-4"))
+    labels = components(scratch, links, "c4")
 
     named = classes.join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
