@@ -36,6 +36,8 @@ PACKED_ARROW = pa.schema(
 )
 #: Rows a bucket's task holds before it folds them into one row per hash.
 FOLD = 4_000_000
+#: Entries a task gathers before it sends them, one row a bucket.
+SEND = 2_000_000
 
 
 def levels(start: int, target: int) -> list[int]:
@@ -265,18 +267,23 @@ def _with_survivors(batches):
 
 def _next_level(k: int, wider: int, first: bool, target: int, buckets: int):
     def run(batches):
+        out: tuple[list, list, list] = ([], [], [])
+        count = 0
         for batch, alive in _with_survivors(batches):
             ids = batch.column("doc_id").to_pylist()
             batch = batch.filter(pa.array([x in alive for x in ids], pa.bool_()))
             ids = [x for x in ids if x in alive]
             number = np.array(ids, np.int64)
-            out: tuple[list, list, list] = ([], [], [])
             for x in _slices(batch, target):
                 live = x.alive(x.sampled(k) if first else x.begun(k), ids, alive)
                 out[0].append(number[x.lo + x.own[live]])
                 out[1].append(x.begun(wider)[live])
                 out[2].append(x.second(wider)[live])
-            yield from _send(*out, _by_hash, buckets)
+                count += int(live.sum())
+            if count >= SEND:  # texts come in small packs: rows in few
+                yield from _send(*out, _by_hash, buckets)
+                out, count = ([], [], []), 0
+        yield from _send(*out, _by_hash, buckets)
 
     return run
 
