@@ -143,7 +143,7 @@ def train(
         .toPandas()
     )
     usable = [has_letter(x) for x in chosen["text"]]
-    chosen = chosen[usable]
+    chosen = chosen[np.array(usable, bool)]
     return Model(chosen["text"].tolist(), chosen["lang"].tolist(), landmarks)
 
 

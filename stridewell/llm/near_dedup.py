@@ -365,8 +365,10 @@ def near_duplicates(
         more = more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
         more = scratch.table(more, f"tried-{k}")
         tried = tried.union(more)
-        links = links.union(confirm(more, f"links-{k}"))
-        labels = components(scratch, links, f"c{k}")
+        found = confirm(more, f"links-{k}")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(scratch, links, f"c{k}")
 
     # Members in other components than their bucket's main one are joined with
     # all members of such buckets, completely but without forming their pairs:
@@ -409,8 +411,9 @@ def near_duplicates(
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    links = links.union(confirm(last, "links-4"))
-    labels = components(scratch, links, "c4")
+    found = confirm(last, "links-4")
+    if not found.isEmpty():
+        labels = components(scratch, links.union(found), "c4")
 
     named = classes.join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
