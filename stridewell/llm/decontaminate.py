@@ -102,7 +102,10 @@ def contamination(
 
     prints = bounded(
         _fingerprints(items.select(F.col("folded").alias("w")), window, gram, short)
-        .select(F.explode("fps").alias("fp"))
+        # explode would infer a filter that repeats the expression below it in
+        # every step of the loops above; explode_outer does not.
+        .select(F.explode_outer("fps").alias("fp"))
+        .where("fp is not null")
         .distinct()
         .withColumn("met", F.lit(1)),
         "prints",
@@ -110,7 +113,7 @@ def contamination(
     own = F.expr(f"if(size(w) < {window}, size(w), {window})")
     spans = bounded(
         items.withColumn("own", own)
-        .select("item_id", "own", F.explode(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s"))
+        .select("item_id", "own", F.explode_outer(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s"))
         .where("s.n = own")
         .select("item_id", F.col("s.n").alias("n"), F.col("s.text").alias("span"))
         .distinct(),
@@ -150,7 +153,7 @@ def contamination(
     )
     hits = (
         held.select(
-            *key, F.explode(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s")
+            *key, F.explode_outer(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s")
         )
         .select(*key, F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.text").alias("span"))
         .join(spans, ["span", "n"])
