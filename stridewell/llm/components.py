@@ -32,6 +32,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("large"), F.lit(0).alias("small")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("large"), F.lit(1).alias("small")),
+    )).alias("e")).select("e.*")
+    uses = ends.groupBy("node").agg(F.sum("large").alias("large"), F.max("small").alias("small"))
+    return uses.where("large > 1 or (large = 1 and small = 1)").isEmpty()
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """(node, comp) for every node with an edge; comp is the smallest node
     reachable.  ``edges`` has longs u and v; null ends, loops and repeats are
@@ -39,8 +48,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
 
     A step is two aggregations (combined before the shuffle, so a hub costs a
     row per task) and two equi-joins that adaptive execution may split.  Each
-    round is written to the shared folder.  Raises if ``most`` rounds (far
-    above the logarithmic bound) do not settle it.
+    round is written to the shared folder.  It ends when what is left is stars:
+    every larger end once, and none that is a smaller end too.  As u > v, the
+    centre is then the smallest of its component.  Raises if ``most`` rounds
+    (far above the logarithmic bound) do not settle it.
     """
     now = scratch.table(
         edges.where("u is not null and v is not null and u <> v").select(
@@ -48,16 +59,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
         ).distinct(),
         f"{name}-0",
     )
-    seen = None
     for k in range(1, most + 1):
-        state = now.agg(
-            F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
-        ).first()
-        if state == seen or state[0] == 0:
+        if _stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
                 now.select(F.col("v"), F.col("v")).distinct()
             )
-        seen = state
         now = scratch.table(_small_star(_large_star(now)), f"{name}-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")

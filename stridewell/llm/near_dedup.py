@@ -303,7 +303,6 @@ def near_duplicates(
             held.select(F.col("doc_id").alias("a"), F.col("sign").alias("sa")), "a"
         ).join(held.select(F.col("doc_id").alias("b"), F.col("sign").alias("sb")), "b")
         near = signs.select("a", "b", "sa", "sb").mapInArrow(_plausible(percent), "a long, b long")
-        near = scratch.table(near, f"{name}-near")
         both = near.join(
             held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
         ).join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -359,6 +358,11 @@ def near_duplicates(
     tried = scratch.table(tried, "tried-1")
     links = confirm(tried, "links-1")
     labels = components(scratch, links, "c1")
+
+    def stars() -> DataFrame:
+        """The components so far as edges."""
+        return labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+
     for k in (2, 3):
         apart = unsettled(f"apart-{k}")
         more = star(apart, apart if k == 2 else apart.where("comp <> main"))
@@ -367,8 +371,7 @@ def near_duplicates(
         tried = tried.union(more)
         found = confirm(more, f"links-{k}")
         if not found.isEmpty():
-            links = links.union(found)
-            labels = components(scratch, links, f"c{k}")
+            labels = components(scratch, stars().union(found), f"c{k}")
 
     # Members in other components than their bucket's main one are joined with
     # all members of such buckets, completely but without forming their pairs:
@@ -413,7 +416,7 @@ def near_duplicates(
     )
     found = confirm(last, "links-4")
     if not found.isEmpty():
-        labels = components(scratch, links.union(found), "c4")
+        labels = components(scratch, stars().union(found), "c4")
 
     named = classes.join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
