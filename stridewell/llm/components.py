@@ -16,20 +16,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
-        .distinct()
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        down.join(low, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(low.select("u", F.col("m").alias("v")))
-        .where("u <> v")
-        .distinct()
-    )
+    # The row of the least neighbour itself, of which no edge comes, stands for
+    # the edge from u.
+    end = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return down.join(low, "u").select(end.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -50,13 +46,14 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
     row per task) and two equi-joins that adaptive execution may split.  Each
     round is written to the shared folder.  It ends when what is left is stars:
     every larger end once, and none that is a smaller end too.  As u > v, the
-    centre is then the smallest of its component.  Raises if ``most`` rounds
+    centre is then the smallest of its component.  Repeated edges are no stars;
+    a round makes them one.  Raises if ``most`` rounds
     (far above the logarithmic bound) do not settle it.
     """
     now = scratch.table(
         edges.where("u is not null and v is not null and u <> v").select(
             F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")
-        ).distinct(),
+        ),
         f"{name}-0",
     )
     for k in range(1, most + 1):

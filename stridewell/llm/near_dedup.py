@@ -4,9 +4,9 @@ Every text becomes the set of its distinct word shingles.  Texts of equal sets
 collapse to a class; class representatives get `bands * rows` universal hash
 minima and meet in band buckets.  A bucket is not expanded into its pairs: a
 pivot (the member that meets most others over all bands, in a group of edited
-copies the common original) is compared with the rest, then a second pivot with
-what the first left apart, and only members that are still in different
-components are joined with their buckets' members, by prefix filtering.  Pairs
+copies the common original) is compared with the rest, and only members that are
+then in different components are joined with their buckets' members, by prefix
+filtering.  Pairs
 already connected need no comparison, so components are those of the full graph
 of candidate links.  A pair's longer signatures are compared first; what they leave
 is confirmed on the full sets.
@@ -316,10 +316,10 @@ def near_duplicates(
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pair = (F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
-    def star(rest: DataFrame, at: DataFrame) -> DataFrame:
-        """Members of other components with the pivot: the member of ``at``
-        that has the highest score in the bucket."""
-        best = at.groupBy("key").agg(
+    def star(rows: DataFrame) -> DataFrame:
+        """Members with the pivot of another component: the member that has
+        the highest score in the bucket."""
+        best = rows.groupBy("key").agg(
             F.max(
                 F.struct(
                     "score", (-F.col("rep")).alias("low"), F.col("n").alias("m"), F.col("comp")
@@ -333,7 +333,7 @@ def near_duplicates(
             F.col("p.comp").alias("other"),
             F.col("p.score").alias("weight"),
         )
-        return rest.join(best, "key").where("comp <> other").where(fits)
+        return rows.join(best, "key").where("comp <> other").where(fits)
 
     def unsettled(name: str) -> DataFrame:
         """Members of buckets that still hold several components."""
@@ -348,35 +348,20 @@ def near_duplicates(
         split = split.where("lo < hi").select("key", F.col("p.comp").alias("main"))
         return scratch.table(named.join(split, "key"), name)
 
-    # One pivot for each member, the best over its buckets; then the pivots of
-    # buckets that are still apart; then a second pivot there.
+    # One pivot for each member: the best over its buckets.
     own = members.withColumn("comp", F.col("rep"))
-    first = star(own, own).groupBy("rep").agg(
+    first = star(own).groupBy("rep").agg(
         F.max(F.struct("weight", (-F.col("pivot")).alias("low"))).alias("p")
     )
     tried = first.select("rep", (-F.col("p.low")).alias("pivot")).select(*pair).distinct()
-    tried = scratch.table(tried, "tried-1")
+    tried = scratch.table(tried, "tried")
     links = confirm(tried, "links-1")
     labels = components(scratch, links, "c1")
 
-    def stars() -> DataFrame:
-        """The components so far as edges."""
-        return labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))
-
-    for k in (2, 3):
-        apart = unsettled(f"apart-{k}")
-        more = star(apart, apart if k == 2 else apart.where("comp <> main"))
-        more = more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-        more = scratch.table(more, f"tried-{k}")
-        tried = tried.union(more)
-        found = confirm(more, f"links-{k}")
-        if not found.isEmpty():
-            labels = components(scratch, stars().union(found), f"c{k}")
-
     # Members in other components than their bucket's main one are joined with
     # all members of such buckets, completely but without forming their pairs:
     # by prefix filtering on the sets.
-    apart = unsettled("apart-4")
+    apart = unsettled("apart")
     roles = apart.groupBy(F.col("rep").alias("doc_id")).agg(
         F.max(F.col("comp") != F.col("main")).alias("out"), F.first("comp").alias("comp")
     )
@@ -414,9 +399,10 @@ def near_duplicates(
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    found = confirm(last, "links-4")
+    found = confirm(last, "links-2")
     if not found.isEmpty():
-        labels = components(scratch, stars().union(found), "c4")
+        stars = labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+        labels = components(scratch, stars.union(found), "c2")
 
     named = classes.join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
