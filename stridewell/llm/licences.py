@@ -126,13 +126,16 @@ def scan(
         .withColumn("n", F.size("b"))
         .withColumn("b", F.expr(f"if(n <= {hi}, b, cast(array() as array<string>))"))
     )
+    # In the join's condition: a unit without a template of its size keeps a row.
+    fits = (
+        (F.col("bigram") == F.col("own"))
+        & (F.col("size") >= F.col("n") * cut / (2 - cut))
+        & (F.col("size") <= F.col("n") * (2 - cut) / cut)
+    )
     met = (
         shaped.select("row", "doc_id", "n_lines", "at", "n", F.explode_outer("b").alias("bigram"))
-        .join(F.broadcast(known), "bigram", "left")
-        .where(
-            (F.col("template").isNull())
-            | ((F.col("size") >= F.col("n") * cut / (2 - cut)) & (F.col("size") <= F.col("n") * (2 - cut) / cut))
-        )
+        .join(F.broadcast(known.withColumnRenamed("bigram", "own")), fits, "left")
+        .drop("own")
     )
     shared = met.groupBy("row", "doc_id", "n_lines", "at", "n", "template", "licence", "size").agg(
         F.count("bigram").alias("both")
