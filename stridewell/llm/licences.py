@@ -1,14 +1,18 @@
 """Licence scan: Dice coefficient over word bigrams against templates.
 
-Each line, and each whole text, is normalised to lower-case words and compared
-with licence templates.  A unit of ``a`` bigrams can reach the cut ``t`` only
-with templates of between ``a t / (2 - t)`` and ``a (2 - t) / t`` bigrams, so
-sizes prune first; shared bigrams are then counted by a join with the templates'
-bigrams, a list of fixed size.  All steps are built-in expressions.
+A text is normalised to one sequence of lower-case words.  Each line, the whole
+text, and each window of a template's number of words that slides over the
+sequence is compared with the template as sets of bigrams.  A unit that reaches
+the cut ``t`` shares at least ``size t / (2 - t)`` bigrams with a template of
+``size``, so a text that holds fewer of them is done; in the others the
+positions of shared bigrams give the windows that can reach the cut.  All steps
+are built-in expressions on the row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,21 +65,74 @@ TEMPLATES = (
 CUT = 0.8
 
 NORMAL = "array_remove(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+', -1), '')"
-BIGRAMS = (
-    "array_distinct(transform(slice(w, 1, greatest(0, size(w) - 1)),"
-    " (x, i) -> concat(x, ' ', w[i + 1])))"
-)
+BIGRAMS = "transform(slice(w, 1, greatest(0, size(w) - 1)), (x, i) -> concat(x, ' ', w[i + 1]))"
+#: Dice is rounded to six places before it meets the cut.
+SLACK = 1e-6
 
 
-def template_bigrams(spark, templates=TEMPLATES) -> DataFrame:
-    """template, licence, size and one bigram a row (a few hundred rows)."""
+def template_table(spark, templates=TEMPLATES) -> list[tuple]:
+    """(template, licence, bigram positions, distinct bigrams) of each template
+    that has a bigram."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    return (
+    known = (
         spark.createDataFrame(rows, "template int, licence string, text string")
         .withColumn("w", F.expr(NORMAL.format("text")))
         .withColumn("b", F.expr(BIGRAMS))
-        .select("template", "licence", F.size("b").alias("size"), F.explode("b").alias("bigram"))
+        .where("size(b) > 0")
+        .select("template", "licence", F.size("b"), F.array_distinct("b"))
+    )
+    return sorted(tuple(r) for r in known.collect())  # one row a template
+
+
+def _literal(known: list[tuple], cut: float) -> F.Column:
+    """The templates as an array of structs.  ``need``: least shared bigrams of
+    a unit that reaches the cut, of ``least`` to ``most`` distinct bigrams."""
+    low = cut - SLACK
+    return F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("template"),
+                F.lit(name).alias("licence"),
+                F.lit(m).alias("m"),
+                F.array(*map(F.lit, grams)).alias("grams"),
+                F.lit(max(1, math.ceil(len(grams) * low / (2 - low) - 1e-9))).alias("need"),
+                F.lit(math.floor(len(grams) * (2 - low) / low + 1e-9)).alias("most"),
+            )
+            for k, name, m, grams in known
+        )
+    )
+
+
+def _units() -> str:
+    """Spans (first bigram, bigrams) of ``b`` in which template ``t`` can reach
+    the cut: windows that hold ``need`` of the shared positions ``p``, lines
+    and the whole text."""
+    windows = (
+        "flatten(transform(filter(sequence(0, size(p) - t.need), i -> p[i + t.need - 1] - p[i] < t.m"
+        " and greatest(0, p[i + t.need - 1] - t.m + 1) <= least(p[i], size(b) - t.m)),"
+        " i -> sequence(greatest(0, p[i + t.need - 1] - t.m + 1), least(p[i], size(b) - t.m))))"
+    )
+    windows = f"transform(array_distinct({windows}), s -> named_struct('s', s, 'n', t.m))"
+    shared = "filter(transform(b, (x, i) -> if(array_contains(t.grams, x), i, -1)), i -> i >= 0)"
+    # A template of many repeats can have fewer shared positions than it needs.
+    windows = f"if(size(p) < t.need, cast(array() as array<struct<s:int,n:int>>), {windows})"
+    return (
+        f"array_union(flatten(transform(array({shared}), p -> {windows})),"
+        " filter(spans, u -> u.n >= t.need))"
+    )
+
+
+def _matches(cut: float) -> str:
+    """All units that reach the cut, as structs, for the row's ``near``
+    templates."""
+    part = "slice(b, u.s + 1, u.n)"
+    scored = (
+        f"transform({_units()}, u -> named_struct('s', u.s, 'e', u.s + u.n,"
+        f" 'dice', transform(array(size(array_distinct({part}))), n -> if(n > t.most, 0D,"
+        f" round(2D * size(array_intersect({part}, t.grams)) / (n + size(t.grams)), 6)))[0],"
+        " 'template', t.template, 'licence', t.licence))"
     )
+    return f"flatten(transform(near, t -> filter({scored}, x -> x.dice >= {cut}D)))"
 
 
 def scan(
@@ -85,80 +142,78 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_matched (units that reach the
-    cut), licence (of the best match; ties to the first name), dice (rounded to
-    six places) and licences (all names found, sorted, comma-joined).
+    """One row per input row: doc_id, n_lines, n_matched, licence (of the best
+    unit; ties to the first template), dice (rounded to six places) and
+    licences (all names found, sorted, comma-joined).
+
+    Units are each line, the whole text, and each window of a template's
+    number of words, compared with that template.  ``n_matched`` counts the
+    places of units that reach the cut, by order of start: of units that
+    overlap the last place's, the better one (higher Dice, then later end)
+    stands for it.
 
     Null and empty texts have no lines and no licence; a unit under two words
     has no bigram; null ids and repeated rows stay; an empty table gives no
     rows.
     """
-    spark = docs.sparkSession
-    known = template_bigrams(spark, templates)
-    sizes = [r[0] for r in known.select("size").distinct().collect()]  # one a template at most
-    lo = min(s * cut / (2 - cut) for s in sizes)
-    hi = max(s * (2 - cut) / cut for s in sizes)
-    # Size bounds on words before bigrams are formed; bigrams are distinct, so
-    # only the lower bound holds for words, the upper one follows on bigrams.
+    known = template_table(docs.sparkSession, templates)
+    if not known:
+        raise ValueError("no template has two words")
+    every = sorted({g for *_, grams in known for g in grams})
+    table = _literal(known, cut)
     lines = F.expr(f"if({text_col} is null or {text_col} = '', cast(array() as array<string>), split({text_col}, '\\n', -1))")
-    units = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("doc_id"),
-        lines.alias("lines"),
-        F.col(text_col).alias("whole"),
-    ).select(
-        "row",
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.posexplode_outer(
-            F.expr(
-                # The whole text is a unit of its own where it has several lines.
-                "if(size(lines) > 1, array_append(lines, whole), lines)"
-            )
-        ).alias("at", "unit"),
-    )
     shaped = (
-        units.withColumn("w", F.expr(NORMAL.format("coalesce(unit, '')")))
+        docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
+        .select(
+            "doc_id",
+            F.size("lines").cast("long").alias("n_lines"),
+            F.expr(f"transform(lines, x -> {NORMAL.format('x')})").alias("by_line"),
+        )
+        .withColumn("w", F.flatten("by_line"))
+        .withColumn("b", F.expr(BIGRAMS))
+        .withColumn("met", F.array_intersect("b", F.array(*map(F.lit, every))))
+        .withColumn("table", F.when(F.size("met") > 0, table).otherwise(F.slice(table, 1, 0)))
         .withColumn(
-            "b",
-            F.expr(f"if(size(w) > {lo}, {BIGRAMS}, cast(array() as array<string>))"),
+            "near", F.expr("filter(table, t -> size(array_intersect(met, t.grams)) >= t.need)")
         )
-        .withColumn("n", F.size("b"))
-        .withColumn("b", F.expr(f"if(n <= {hi}, b, cast(array() as array<string>))"))
-    )
-    # In the join's condition: a unit without a template of its size keeps a row.
-    fits = (
-        (F.col("bigram") == F.col("own"))
-        & (F.col("size") >= F.col("n") * cut / (2 - cut))
-        & (F.col("size") <= F.col("n") * (2 - cut) / cut)
     )
-    met = (
-        shaped.select("row", "doc_id", "n_lines", "at", "n", F.explode_outer("b").alias("bigram"))
-        .join(F.broadcast(known.withColumnRenamed("bigram", "own")), fits, "left")
-        .drop("own")
+    # Lines by their first bigram; the end is one word before the next line's.
+    by_line = (
+        "aggregate(by_line, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,n:int>>)),"
+        " (a, x) -> named_struct('at', a.at + size(x), 'out', if(size(x) < 2, a.out,"
+        " array_append(a.out, named_struct('s', a.at, 'n', size(x) - 1)))), a -> a.out)"
     )
-    shared = met.groupBy("row", "doc_id", "n_lines", "at", "n", "template", "licence", "size").agg(
-        F.count("bigram").alias("both")
-    )
-    dice = F.when(
-        F.col("template").isNotNull(), F.round(2 * F.col("both") / (F.col("n") + F.col("size")), 6)
-    )
-    scored = shared.withColumn("dice", dice).withColumn(
-        "name", F.when(F.col("dice") >= cut, F.col("licence"))
-    )
-    found = scored.groupBy("row", "doc_id", "n_lines").agg(
-        F.countDistinct(F.when(F.col("name").isNotNull(), F.col("at"))).alias("n_matched"),
-        F.max(F.when(F.col("name").isNotNull(), F.col("dice"))).alias("dice"),
-        F.max_by(
-            "name", F.struct("dice", F.expr("-template"))
-        ).alias("first"),
-        F.array_join(F.array_sort(F.collect_set("name")), ",").alias("licences"),
+    found = shaped.select(
+        "doc_id",
+        "n_lines",
+        "b",
+        "near",
+        F.expr(
+            "if(size(near) = 0, cast(array() as array<struct<s:int,n:int>>),"
+            f" array_union({by_line}, array(named_struct('s', 0, 'n', size(b)))))"
+        ).alias("spans"),
+    ).select("doc_id", "n_lines", F.expr(f"array_sort({_matches(cut)})").alias("hits"))
+    # Words s to e of a unit: it is apart from the last place if it starts later.
+    places = (
+        "aggregate(hits, named_struct('n', 0L, 'e', -1, 'dice', 0D), (a, x) -> case"
+        " when x.s > a.e then named_struct('n', a.n + 1L, 'e', x.e, 'dice', x.dice)"
+        " when x.dice > a.dice or (x.dice = a.dice and x.e > a.e)"
+        " then named_struct('n', a.n, 'e', x.e, 'dice', x.dice) else a end, a -> a.n)"
     )
+    best = "array_max(transform(hits, x -> named_struct('dice', x.dice, 'low', -x.template, 'licence', x.licence)))"
     return found.select(
+        "doc_id",
+        "n_lines",
+        F.expr(places).alias("n_matched"),
+        F.expr(best).alias("best"),
+        F.expr("array_join(array_sort(array_distinct(transform(hits, x -> x.licence))), ',')").alias(
+            "licences"
+        ),
+    ).select(
         "doc_id",
         "n_lines",
         "n_matched",
-        F.when(F.col("dice").isNotNull(), F.col("first")).alias("licence"),
-        "dice",
+        F.col("best.licence").alias("licence"),
+        F.col("best.dice").alias("dice"),
         "licences",
     )
