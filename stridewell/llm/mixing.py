@@ -9,7 +9,9 @@ tokens meet the budget, and a hash of its id decides.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ AXES = ("source", "lang", "topic")
 #: Cells above this count are raked by distributed steps instead of in memory.
 CELLS_IN_MEMORY = 200_000
 TOPICS = 4
+#: Raking ends, in memory or distributed, at this residual or after these rounds.
+CLOSE = 1e-10
+ROUNDS = 1000
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
@@ -59,53 +64,86 @@ def tempered(cells: list[dict], power: float = 0.5) -> dict[str, dict[str, float
     return out
 
 
+def _report(what: str, residual: float) -> None:
+    """Says that an iteration ended at its cap, and how far off it is."""
+    warnings.warn(f"{what} stopped at its cap with a residual of {residual:.3g}", RuntimeWarning, 3)
+
+
 def rake(
-    cells: list[dict], targets: dict[str, dict[str, float]], rounds: int = 200, close: float = 1e-10
+    cells: list[dict],
+    targets: dict[str, dict[str, float]],
+    rounds: int = ROUNDS,
+    close: float = CLOSE,
 ) -> list[float]:
     """Factor of each cell so that weighted token shares meet each marginal.
     Values without a target, or with target 0, get factor 0; targets of values
-    without tokens are spread over the others.  Cells without tokens keep 1."""
-    weight = [1.0 if c["tokens"] > 0 else 0.0 for c in cells]
-    total = float(sum(c["tokens"] for c in cells))
+    without tokens are spread over the others.  Cells without tokens keep 1.
+    Rounds end when no marginal is off by more than ``close`` (largest absolute
+    log of a scale); where ``rounds`` do not get there, a warning gives the
+    residual."""
+    tokens = np.array([c["tokens"] for c in cells], float)
+    weight = (tokens > 0).astype(float)
+    total = float(tokens.sum())
+    axes = []
+    for axis in [x for x in AXES if x in targets] if total else ():
+        values, at = np.unique(np.array([c[axis] for c in cells], object), return_inverse=True)
+        axes.append((axis, np.array([targets[axis].get(v, 0.0) for v in values], float), at))
+    worst = 0.0
     for _ in range(rounds if total else 0):
         worst = 0.0
-        for axis in AXES:
-            if axis not in targets:
-                continue
-            mass: dict[str, float] = {}
-            for c, w in zip(cells, weight):
-                mass[c[axis]] = mass.get(c[axis], 0.0) + w * c["tokens"]
-            want = {k: targets[axis].get(k, 0.0) for k, v in mass.items() if v > 0}
-            whole = sum(want.values())
+        for axis, want, at in axes:
+            mass = np.bincount(at, weight * tokens, len(want))
+            share = np.where(mass > 0, want, 0.0)
+            whole = share.sum()
             if not whole:
                 raise ValueError(f"no target of {axis} has tokens")
-            scale = {k: total * v / whole / mass[k] for k, v in want.items()}
-            worst = max([worst, *(abs(math.log(s)) for s in scale.values() if s > 0)])
-            weight = [w * scale.get(c[axis], 0.0) for c, w in zip(cells, weight)]
+            scale = np.divide(total * share / whole, mass, out=np.zeros(len(want)), where=mass > 0)
+            worst = max([worst, *np.abs(np.log(scale[scale > 0]))])
+            weight = weight * scale[at]
         if worst < close:
             break
-    return [w if c["tokens"] > 0 else 1.0 for c, w in zip(cells, weight)]
+    if worst >= close:
+        _report("raking", worst)
+    return [float(w) if t > 0 else 1.0 for w, t in zip(weight, tokens)]
 
 
 def rake_distributed(
-    scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30
+    scratch: Scratch,
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    rounds: int = ROUNDS,
+    *,
+    close: float = CLOSE,
 ) -> DataFrame:
-    """The same raking as DataFrame steps, for cells without a size bound.
-    ``targets``: (value, share) per axis.  Each round is written."""
+    """The same raking, ended by the same rule, as DataFrame steps, for cells
+    without a size bound.  ``targets``: (value, share) per axis.  Each round is
+    written."""
     now = cells.withColumn("factor", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    for k in range(rounds):
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    worst = 0.0
+    for k in range(rounds if total else 0):
+        worst = 0.0
         for axis, shares in targets.items():
             mass = now.groupBy(axis).agg(F.sum(F.col("factor") * F.col("tokens")).alias("m"))
             scale = mass.where("m > 0").join(
                 shares.select(F.col("value").alias(axis), "share"), axis
             )
-            whole = scale.agg(F.sum("share")).first()[0]
+            ratio = F.when(F.col("share") > 0, F.col("share") / F.col("m"))
+            whole, least, most = scale.agg(F.sum("share"), F.min(ratio), F.max(ratio)).first()
+            if not whole:
+                raise ValueError(f"no target of {axis} has tokens")
+            worst = max([worst, *(abs(math.log(total * x / whole)) for x in (least, most))])
             scale = scale.select(axis, (F.lit(total) * F.col("share") / F.lit(whole) / F.col("m")).alias("s"))
             now = now.join(scale, axis, "left").select(
                 *cells.columns, (F.col("factor") * F.coalesce("s", F.lit(0.0))).alias("factor")
             )
         now = scratch.table(now, f"rake-{k}")
+        if k:
+            scratch.drop(f"rake-{k - 1}")
+        if worst < close:
+            break
+    if worst >= close:
+        _report("raking", worst)
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("factor")).otherwise(1.0))
 
 
@@ -146,6 +184,8 @@ def calibrated(
     else:
         shares = {}
         for axis in AXES:
+            if targets and axis not in targets:
+                continue
             if targets:
                 share = docs.sparkSession.createDataFrame(
                     list(targets[axis].items()), "value string, share double"
@@ -166,12 +206,15 @@ def calibrated(
             ).first()
     # The rate by fixed-point steps over cells (sums only): those at one stay.
     rate = keep_share
-    for _ in range(12):
+    for _ in range(ROUNDS):
         total, full, part = sums(rate)
         better = max(0.0, (keep_share * total - full) / part) if part else rate
-        if abs(better - rate) <= 1e-12 * max(1.0, rate):
+        moved = abs(better - rate) / max(1.0, rate)
+        if moved <= 1e-12:
             break
         rate = better
+    else:
+        _report("the rate", moved)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     out = rows.join(weighted.drop("tokens"), list(AXES))
     return out.select(
