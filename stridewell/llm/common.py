@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
 # scratch tables
@@ -54,6 +55,25 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(least, min(200_000, -(-input_bytes(df) // bytes_each)))
 
 
+# --------------------------------------------------------------------------
+# decisions on rows
+
+
+def row_key(id_: Column, text: Column, *more: Column) -> Column:
+    """63-bit hash of a row's id and text (null as empty), and of what else
+    decides on it: repeated and null ids are told apart by it."""
+    parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (text, *more)]
+    return F.shiftrightunsigned(F.xxhash64(id_.cast("long"), F.xxhash64(*parts)), 1)
+
+
+def without(docs: DataFrame, bad: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id (null-safe) and ``key`` are among the
+    (doc_id, key) of ``bad``."""
+    gone = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).distinct()
+    same = (key == F.col("_gone")) & docs[id_col].cast("long").eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti")
+
+
 # --------------------------------------------------------------------------
 # Arrow text columns as byte arrays
 

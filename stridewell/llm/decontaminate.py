@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridewell.llm.common import Scratch
+from stridewell.llm.common import Scratch, without
 
 #: Bytes between words: all ASCII but 0-9 and a-z (after lower-casing A-Z).
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,6 +82,18 @@ def contamination(
     by their text) stay; an empty benchmark hits nothing; an empty table gives
     no rows.
     """
+    return _contamination(docs, benchmark, id_col, text_col, window, gram).drop("version")
+
+
+def _contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 10,
+    gram: int = 4,
+) -> DataFrame:
+    """contamination() with ``version``, the hash of each row's text."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     exact = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     items = benchmark.select(
@@ -182,6 +194,7 @@ def contamination(
     )
     return out.select(
         "doc_id",
+        "version",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -192,8 +205,7 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(
-        F.col("doc_id").alias("_bad")
-    )
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(bad.distinct(), docs[id_col] == F.col("_bad"), "left_anti")
+    bad = _contamination(docs, benchmark, **options).where("contaminated")
+    text = F.coalesce(F.col(options.get("text_col", "text")).cast("string"), F.lit(""))
+    bad = bad.withColumnRenamed("version", "key")
+    return without(docs, bad, F.xxhash64(text), options.get("id_col", "doc_id"))

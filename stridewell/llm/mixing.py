@@ -26,18 +26,21 @@ CLOSE = 1e-10
 ROUNDS = 1000
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
+def with_cells(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, source, lang, topic and n_tokens (runs of non-space).  The topic
     is read from the text's form: list, numeric, long or plain.  Null keys
-    become the value 'none'; null texts have no tokens."""
+    become the value 'none'; null texts have no tokens.  ``also``: columns to
+    keep."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"),
         text.alias("text"),
+        *also,
     )
     return named.select(
+        *also,
         "doc_id",
         "source",
         "lang",
@@ -161,6 +164,29 @@ def calibrated(
     the budget.  Ties of id fall together, as the draw is a hash of the id;
     null ids hash as such; an empty table gives no rows.
     """
+    rows, weighted, rate = _weights(docs, targets, keep_share)
+    out = rows.join(weighted, list(AXES))
+    return out.select(
+        "doc_id",
+        *AXES,
+        "n_tokens",
+        F.col("factor").alias("weight"),
+        _probability(rate).alias("probability"),
+    ).select("*", (_draw(seed) < F.col("probability")).alias("sampled"))
+
+
+def _probability(rate: float) -> F.Column:
+    return F.least(F.lit(1.0), F.col("factor") * F.lit(rate))
+
+
+def _draw(seed: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def _weights(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float
+) -> tuple[DataFrame, DataFrame, float]:
+    """Rows with their cells, the factor of each cell, and the rate."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.table(with_cells(docs), "rows")
     grouped = rows.groupBy(*AXES).agg(
@@ -215,30 +241,21 @@ def calibrated(
         rate = better
     else:
         _report("the rate", moved)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    out = rows.join(weighted.drop("tokens"), list(AXES))
+    return rows, weighted.drop("tokens"), rate
+
+
+def sample(
+    docs: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    keep_share: float = 0.5,
+    seed: int = 1,
+) -> DataFrame:
+    """The sampled rows of ``docs`` with topic, weight and probability: each
+    row is drawn by its own cell and id, as in calibrated()."""
+    _, weighted, rate = _weights(docs, targets, keep_share)
+    whole = docs.drop("topic", "weight", "probability")
+    cells = with_cells(docs.select(F.struct(*whole.columns).alias("row"), "*"), "row")
+    out = cells.join(weighted, list(AXES)).where(_draw(seed) < _probability(rate))
     return out.select(
-        "doc_id",
-        *AXES,
-        "n_tokens",
-        F.col("factor").alias("weight"),
-        F.least(F.lit(1.0), F.col("factor") * F.lit(rate)).alias("probability"),
-    ).select("*", (draw < F.col("probability")).alias("sampled"))
-
-
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs`` with weight and probability: a join back
-    on the id.  Rows that repeat an id fall together."""
-    chosen = (
-        calibrated(docs, **options)
-        .where("sampled")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(
-            F.first("topic").alias("topic"),
-            F.first("weight").alias("weight"),
-            F.first("probability").alias("probability"),
-        )
+        "row.*", "topic", F.col("factor").alias("weight"), _probability(rate).alias("probability")
     )
-    return docs.drop("topic", "weight", "probability").join(
-        chosen, F.col("doc_id") == F.col("_id")
-    ).drop("_id")

@@ -28,7 +28,9 @@ from stridewell.llm.common import (
     U,
     gram_hashes,
     mix,
+    row_key,
     text_slices,
+    without,
     word_hashes,
     words,
 )
@@ -37,6 +39,7 @@ from stridewell.llm.components import components
 SIGNED = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("node", pa.int64()),
         ("n_shingles", pa.int64()),
         ("s1", pa.int64()),
         ("s2", pa.int64()),
@@ -95,6 +98,7 @@ def _signer(k: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("node"),
                     pa.array(size, pa.int64()),
                     pa.array(np.array(s1, U).view(np.int64)),
                     pa.array(np.array(s2, U).view(np.int64)),
@@ -266,34 +270,60 @@ def near_duplicates(
     Repeated rows stay.  An empty table gives no rows.  Other columns of the
     input are not read.
     """
+    found = _components(docs, id_col, text_col, shingle, percent, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id").select(
+        "*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+def _components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    bands: int = 32,
+    rows: int = 4,
+) -> DataFrame:
+    """One row per input row: doc_id, node (key of the id and text),
+    n_shingles, component_id and stands (the component's one row of smallest id
+    and then node, and any row without component).  Texts are told apart by
+    node, so those under one id are compared each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        row_key(F.col(id_col), F.col(text_col)).alias("node"),
+        F.col(text_col).cast("string").alias("text"),
     )
     signed = scratch.table(
         texts.mapInArrow(
             _signer(shingle, bands, rows),
-            "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>",
+            "doc_id long, node long, n_shingles long, s1 long, s2 long, bands array<long>",
         ),
         "signed",
     )
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = usable.groupBy("n_shingles", "s1", "s2").agg(
+        F.min(F.struct("doc_id", "node")).alias("first")
+    )
+    classes = classes.withColumn("rep", F.col("first.node"))
     reps = (
-        usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-        .select("key", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+        usable.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+        .dropDuplicates(["node"])
+        .select("node", "n_shingles", F.explode("bands").alias("key"))
+        .select("key", F.col("node").alias("rep"), F.col("n_shingles").alias("n"))
     )
     full = reps.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = reps.join(full, "key")
     score = met.groupBy("rep").agg(F.sum("c").alias("score"))
     members = scratch.table(met.join(score, "rep").select("key", "rep", "n", "score"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    held = scratch.table(
-        texts.join(wanted, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
+    wanted = members.select(F.col("rep").alias("node")).distinct()
+    held = scratch.table(  # from here on a node is the doc_id
+        texts.join(wanted, "node", "left_semi")
+        .where("doc_id is not null")
+        .dropDuplicates(["node"])
+        .select(F.col("node").alias("doc_id"), "text")
         .mapInArrow(_sketcher(shingle), "doc_id long, text string, sign binary"),
         "held",
     )
@@ -404,33 +434,41 @@ def near_duplicates(
         stars = labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))
         labels = components(scratch, stars.union(found), "c2")
 
-    named = classes.join(
-        labels.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("n_shingles", "s1", "s2", F.coalesce("comp", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    least = (
+        named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
+    )
+    named = named.join(least, "comp", "left").select(
+        "n_shingles", "s1", "s2", F.coalesce("least", "first").alias("first")
+    )
+    out = signed.select("doc_id", "node", "n_shingles", "s1", "s2").join(
         named, ["n_shingles", "s1", "s2"], "left"
     )
     return out.select(
         "doc_id",
+        "node",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias(
             "component_id"
         ),
-    ).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        (
+            F.col("doc_id").isNull() | F.col("first").isNull() | (F.col("node") == F.col("first.node"))
+        ).alias("stands"),
+    )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component: all columns, one
     document (the smallest id) per component, rows of null id kept; of rows
-    that repeat one id, one stays."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone")
-    )
+    that repeat one id and text, one stays."""
     id_col = options.get("id_col", "doc_id")
-    kept = docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
-    order = Window.partitionBy(id_col).orderBy(F.lit(0))
+    key = row_key(F.col(id_col), F.col(options.get("text_col", "text")))
+    gone = _components(docs, **options).where(~F.col("stands")).withColumnRenamed("node", "key")
+    order = Window.partitionBy(id_col, "_key").orderBy(F.xxhash64(*docs.columns))
     return (
-        kept.withColumn("_n", F.row_number().over(order))
+        without(docs, gone, key, id_col)
+        .withColumn("_key", key)
+        .withColumn("_n", F.row_number().over(order))
         .where((F.col("_n") == 1) | F.col(id_col).isNull())
-        .drop("_n")
+        .drop("_n", "_key")
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridewell.llm.common import NOT_SPACE, byte_class, text_slices, words
+from stridewell.llm.common import NOT_SPACE, byte_class, row_key, text_slices, without, words
 
 LETTER = byte_class((65, 90), (97, 122), (128, 255))
 UPPER = byte_class((65, 90))
@@ -133,23 +133,34 @@ def posterior(
     paths form a group of their own; null ids and repeated rows stay; an empty
     table gives no rows.
     """
+    return _posterior(docs, beta, host_col, path_cols).drop("key")
+
+
+def _groups(host_col: str = "source", path_cols: tuple = ("lang",)) -> tuple:
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path_cols))
+    return host, path
+
+
+def _posterior(docs: DataFrame, beta: np.ndarray, host_col="source", path_cols=("lang",)) -> DataFrame:
+    """posterior() with the key of each row."""
+    host, path = _groups(host_col, path_cols)
 
     def score(batches):
         for batch in batches:
             p = 1 / (1 + np.exp(-np.clip(bend(form_features(batch.column("text"))) @ beta, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(p)],
-                ["doc_id", "host", "path", "p_doc"],
+                [*(batch.column(c) for c in ("doc_id", "key", "host", "path")), pa.array(p)],
+                ["doc_id", "key", "host", "path", "p_doc"],
             )
 
     scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        row_key(F.col("doc_id"), F.col("text"), host, path).alias("key"),
         host.alias("host"),
         path.alias("path"),
         F.col("text").cast("string").alias("text"),
-    ).mapInArrow(score, "doc_id long, host string, path string, p_doc double")
+    ).mapInArrow(score, "doc_id long, key long, host string, path string, p_doc double")
     from stridewell.llm.common import Scratch
 
     scored = Scratch(docs.sparkSession, "quality").table(scored, "scored")
@@ -197,6 +208,7 @@ def posterior(
     out = out.withColumn("posterior", 1 / (1 + F.exp(-own)))
     return out.select(
         "doc_id",
+        "key",
         "host",
         "path",
         F.round("p_doc", 6).alias("p_doc"),
@@ -209,5 +221,5 @@ def posterior(
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    bad = posterior(docs, fit(docs, labels)).where("not keep").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), docs["doc_id"] == F.col("_bad"), "left_anti")
+    bad = _posterior(docs, fit(docs, labels)).where("not keep")
+    return without(docs, bad, row_key(F.col("doc_id"), F.col("text"), *_groups()))
