@@ -311,13 +311,13 @@ def _components(
     reps = (
         usable.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
         .dropDuplicates(["node"])
-        .select("node", "n_shingles", F.explode("bands").alias("key"))
-        .select("key", F.col("node").alias("rep"), F.col("n_shingles").alias("n"))
+        .select("node", "doc_id", "n_shingles", F.explode("bands").alias("key"))
+        .select("key", F.col("node").alias("rep"), (-F.col("doc_id")).alias("low"), F.col("n_shingles").alias("n"))
     )
     full = reps.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = reps.join(full, "key")
     score = met.groupBy("rep").agg(F.sum("c").alias("score"))
-    members = scratch.table(met.join(score, "rep").select("key", "rep", "n", "score"), "members")
+    members = scratch.table(met.join(score, "rep").select("key", "rep", "low", "n", "score"), "members")
     wanted = members.select(F.col("rep").alias("node")).distinct()
     held = scratch.table(  # from here on a node is the doc_id
         texts.join(wanted, "node", "left_semi")
@@ -352,13 +352,14 @@ def _components(
         best = rows.groupBy("key").agg(
             F.max(
                 F.struct(
-                    "score", (-F.col("rep")).alias("low"), F.col("n").alias("m"), F.col("comp")
+                    "score", "low", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("comp")
                 )
             ).alias("p")
         )
         best = best.select(
             "key",
-            (-F.col("p.low")).alias("pivot"),
+            F.col("p.pivot").alias("pivot"),
+            F.col("p.low").alias("first"),
             F.col("p.m").alias("m"),
             F.col("p.comp").alias("other"),
             F.col("p.score").alias("weight"),
@@ -368,12 +369,12 @@ def _components(
     def unsettled(name: str) -> DataFrame:
         """Members of buckets that still hold several components."""
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n", "score", F.coalesce("comp", "rep").alias("comp")
+            "key", "rep", "low", "n", "score", F.coalesce("comp", "rep").alias("comp")
         )
         split = named.groupBy("key").agg(
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
-            F.max(F.struct("score", (-F.col("rep")).alias("low"), F.col("comp"))).alias("p"),
+            F.max(F.struct("score", "low", "rep", F.col("comp"))).alias("p"),
         )
         split = split.where("lo < hi").select("key", F.col("p.comp").alias("main"))
         return scratch.table(named.join(split, "key"), name)
@@ -381,9 +382,9 @@ def _components(
     # One pivot for each member: the best over its buckets.
     own = members.withColumn("comp", F.col("rep"))
     first = star(own).groupBy("rep").agg(
-        F.max(F.struct("weight", (-F.col("pivot")).alias("low"))).alias("p")
+        F.max(F.struct("weight", F.col("first"), F.col("pivot"))).alias("p")
     )
-    tried = first.select("rep", (-F.col("p.low")).alias("pivot")).select(*pair).distinct()
+    tried = first.select("rep", F.col("p.pivot").alias("pivot")).select(*pair).distinct()
     tried = scratch.table(tried, "tried")
     links = confirm(tried, "links-1")
     labels = components(scratch, links, "c1")
