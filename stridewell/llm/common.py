@@ -20,12 +20,15 @@ class Scratch:
     """Tables written to the shared folder named by ``spark.checkpoint.dir``.
 
     Writing a table cuts the lineage and survives lost executors.  Where the
-    setting is absent (tests in one process) a folder of our own is set.
+    setting is absent a folder of our own is set in local mode (tests in one
+    process); on a cluster that is an error, as executors could not read it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="stridewell-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
@@ -36,10 +39,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing will read any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

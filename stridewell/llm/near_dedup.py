@@ -4,12 +4,14 @@ Every text becomes the set of its distinct word shingles.  Texts of equal sets
 collapse to a class; class representatives get `bands * rows` universal hash
 minima and meet in band buckets.  A bucket is not expanded into its pairs: a
 pivot (the member that meets most others over all bands, in a group of edited
-copies the common original) is compared with the rest, and only members that are
-then in different components are joined with their buckets' members, by prefix
-filtering.  Pairs
-already connected need no comparison, so components are those of the full graph
-of candidate links.  A pair's longer signatures are compared first; what they leave
-is confirmed on the full sets.
+copies the common original) is compared with the rest.  Buckets that then still
+hold several components are compared inside a task: signatures of members of
+different components, of which only a star for each group of plausible pairs
+leaves the task.  What is connected by plausible pairs meets once more with the
+full sets, and a task gives only the confirmed links that join two components.
+Pairs already connected need no comparison, so components are those of the full
+graph of candidate links.  Buckets and groups above a block's size are dealt as
+pairs of blocks, so no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridewell.llm.common import (
@@ -28,6 +30,7 @@ from stridewell.llm.common import (
     U,
     gram_hashes,
     mix,
+    partitions_for,
     row_key,
     text_slices,
     without,
@@ -171,86 +174,128 @@ def _verifier(k: int, percent: int):
     return run
 
 
-#: Counters of shingle frequency: a fixed number, whatever the corpus.
-COUNTERS = 1 << 17
-#: Ratio of the set sizes that one bin of the prefix join spans.
-STEP = 1.05
-
+#: Members of a bucket, and shingles of a group, that one block holds.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _runs(batches, columns: list[str]):
+    """Rows of one (key, p, q), gathered over batches sorted by these: for each
+    its columns as NumPy arrays or lists."""
+    held, last = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "p", "q")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, n], strict=True):
+            now = tuple(keys[:, lo].tolist())
+            if now != last and held:
+                yield last, pa.Table.from_batches(held).combine_chunks().select(columns)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks().select(columns)
+
+
+def _plausible_groups(percent: int):
+    """From the members of each bucket: a star (least member, member) for each
+    set of members that plausible pairs of different components connect."""
+    p = percent / 100
+    least = {m: m * (p - 6 * (p * (1 - p) / m) ** 0.5) for m in (32, SIGNATURE)}
 
-def _counted(k: int):
     def run(batches):
-        for batch in batches:
-            total = np.zeros(COUNTERS, np.int64)
-            for items in shingle_sets(batch.column("text"), k):
-                total += np.bincount((items % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"]
-            )
+        for _, rows in _runs(batches, ["rep", "comp", "n", "sign"]):
+            rep, comp, size = (rows.column(c).to_numpy() for c in ("rep", "comp", "n"))
+            if len(rep) < 2 or (comp == comp[0]).all():
+                continue
+            order = np.argsort(size, kind="stable")
+            rep, comp, size = rep[order], comp[order], size[order]
+            sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8)
+            sign = sign.reshape(-1, SIGNATURE)[order]
+            short = np.ascontiguousarray(sign[:, :32])
+            # The last member whose set is not too large for each member's.
+            far = np.searchsorted(size * percent, size * 100, side="right")
+            parent = {i: i for i in range(len(rep))}
+            for i in range(len(rep) - 1):
+                to = far[i]
+                near = np.flatnonzero(
+                    (comp[i + 1 : to] != comp[i])
+                    & (np.count_nonzero(short[i + 1 : to] == short[i], axis=1) >= least[32])
+                ) + i + 1
+                near = near[np.count_nonzero(sign[near] == sign[i], axis=1) >= least[SIGNATURE]]
+                for j in near.tolist():
+                    parent[_root(parent, j)] = _root(parent, i)
+            roots = np.array([_root(parent, i) for i in range(len(rep))])
+            low = np.full(len(rep), np.iinfo(np.int64).max)
+            np.minimum.at(low, roots, rep)
+            u, v = rep, low[roots]
+            if (u != v).any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"]
+                )
 
     return run
 
 
-def _prefixes(k: int, percent: int, counts: np.ndarray):
-    """Rows that two sets of the wanted similarity must share.
+def _joining_links(k: int, percent: int):
+    """From the members of each group with their texts: confirmed links, of
+    which each joins two components that were apart until then."""
 
-    Of a pair the larger set (ties either way) is 'large'.  Sets of sizes m <= n
-    with Jaccard at least t share at least t (m + n) / (1 + t) shingles, so, in
-    any one order, one of the first m - that + 1 of one is among the first
-    n - that + 1 of the other.  The order is from rare to frequent: what is a
-    text's own comes first, so edited copies do not meet by what all share.
-    The large one sends a prefix for each bin of sizes of the small one, for
-    the least size in the bin; the small one for its own bin, as if n were m.
-    """
-    t = percent / 100
+    def run(batches):
+        for _, rows in _runs(batches, ["rep", "comp", "text"]):
+            rep, comp = rows.column("rep").to_pylist(), rows.column("comp").to_pylist()
+            parent = {c: c for c in comp}
+            if len(parent) < 2:
+                continue
+            sets = list(shingle_sets(rows.column("text").combine_chunks(), k))
+            size = np.array([len(x) for x in sets])
+            _, code = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
+            own = np.split(code, np.cumsum(size)[:-1])
+            u, v = [], []
+            for i, items in enumerate(own):
+                if not len(items):
+                    continue
+                met = np.concatenate([owner[begin[c] : begin[c + 1]] for c in items.tolist()])
+                both = np.bincount(met, minlength=len(sets))
+                both[: i + 1] = 0
+                for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size + size[i] - both))):
+                    a, b = _root(parent, comp[i]), _root(parent, comp[int(j)])
+                    if a != b:
+                        parent[a] = b
+                        u.append(rep[i])
+                        v.append(rep[int(j)])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def first_of(size: int) -> int:
-        return int(np.floor(np.log(size) / np.log(STEP)))
+    return run
 
-    def least_in(bin_: int) -> int:
-        size = max(1, int(np.floor(STEP**bin_)) - 1)
-        while first_of(size) < bin_:
-            size += 1
-        return size
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            comps = batch.column("comp").to_pylist()
-            outs = batch.column("out").to_pylist()
-            token, bins, large, doc = [], [], [], []
-
-            def send(items, n, bin_, big, i):
-                token.append(items[:n].view(np.int64))
-                bins.append(np.full(n, bin_, np.int32))
-                large.append(np.full(n, big))
-                doc.append(np.full(n, i))
-
-            for i, items in enumerate(shingle_sets(batch.column("text"), k)):
-                n = len(items)
-                items = items[np.lexsort((items, counts[(items % U(COUNTERS)).astype(np.int64)]))]
-                need = int(np.ceil(2 * t / (1 + t) * n - 1e-9))
-                send(items, n - need + 1, first_of(n), False, i)
-                for bin_ in range(first_of(max(1, int(np.ceil(t * n - 1e-9)))), first_of(n) + 1):
-                    m = max(least_in(bin_), int(np.ceil(t * n - 1e-9)))
-                    if m > n:
-                        continue
-                    need = int(np.ceil(t / (1 + t) * (m + n) - 1e-9))
-                    send(items, n - need + 1, bin_, True, i)
-            which = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)),
-                    pa.array(np.concatenate(bins) if bins else np.zeros(0, np.int32)),
-                    pa.array(np.concatenate(large) if large else np.zeros(0, bool)),
-                    pa.array(np.array(ids, np.int64)[which]),
-                    pa.array(np.array(comps, np.int64)[which]),
-                    pa.array(np.array(outs, bool)[which]),
-                ],
-                ["token", "bin", "large", "doc_id", "comp", "out"],
-            )
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows with (p, q), once for each pair of blocks that holds them; with
+    ``blocks`` 1, once."""
+    own = F.pmod(F.xxhash64("rep"), blocks)
+    return (
+        rows.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+        .withColumn("p", F.least("own", "other"))
+        .withColumn("q", F.greatest("own", "other"))
+        .drop("own", "other")
+    )
 
-    return run
+
+def _dealt(rows: DataFrame, to: int) -> DataFrame:
+    return rows.repartition(to, "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
 def near_duplicates(
@@ -372,12 +417,10 @@ def _components(
             "key", "rep", "low", "n", "score", F.coalesce("comp", "rep").alias("comp")
         )
         split = named.groupBy("key").agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.max(F.struct("score", "low", "rep", F.col("comp"))).alias("p"),
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")
         )
-        split = split.where("lo < hi").select("key", F.col("p.comp").alias("main"))
-        return scratch.table(named.join(split, "key"), name)
+        split = split.where("lo < hi").select("key", "c")
+        return scratch.table(named.join(split, "key").select("key", "rep", "n", "comp", "c"), name)
 
     # One pivot for each member: the best over its buckets.
     own = members.withColumn("comp", F.col("rep"))
@@ -389,51 +432,34 @@ def _components(
     links = confirm(tried, "links-1")
     labels = components(scratch, links, "c1")
 
-    # Members in other components than their bucket's main one are joined with
-    # all members of such buckets, completely but without forming their pairs:
-    # by prefix filtering on the sets.
+    # Buckets that still hold several components: signatures compared in tasks.
     apart = unsettled("apart")
-    roles = apart.groupBy(F.col("rep").alias("doc_id")).agg(
-        F.max(F.col("comp") != F.col("main")).alias("out"), F.first("comp").alias("comp")
+    signs = apart.join(held.select(F.col("doc_id").alias("rep"), "sign"), "rep")
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("long")
+    dealt = _in_blocks(signs, blocks).select("key", "p", "q", "rep", "comp", "n", "sign")
+    stars = scratch.table(
+        _dealt(dealt, partitions_for(apart)).mapInArrow(_plausible_groups(percent), "u long, v long"),
+        "plausible",
     )
-    sets = scratch.table(held.select("doc_id", "text").join(roles, "doc_id"), "apart-sets")
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in (
-        sets.select("text")
-        .mapInArrow(_counted(shingle), "bucket int, n long")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .collect()  # at most COUNTERS rows
-    ):
-        counts[row[0]] = row[1]
-    prefixes = scratch.table(
-        sets.mapInArrow(
-            _prefixes(shingle, percent, counts),
-            "token long, bin int, large boolean, doc_id long, comp long, out boolean",
-        ),
-        "prefixes",
+    scratch.drop("members", "tried")
+
+    # What plausible pairs connect, compared on the full sets.
+    groups = components(scratch, stars, "g").withColumnsRenamed({"node": "rep", "comp": "key"})
+    named = apart.select("rep", "comp", "n").distinct().join(groups, "rep")
+    total = named.groupBy("key").agg(F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("long")
+    full = named.join(total.where("lo < hi"), "key").join(
+        held.select(F.col("doc_id").alias("rep"), "text"), "rep"
     )
-
-    def side(large: bool, out: bool, name: str) -> DataFrame:
-        rows = prefixes.where(F.col("large") if large else ~F.col("large"))
-        rows = rows.where("out") if out else rows
-        return rows.select("token", "bin", F.col("doc_id").alias(name), F.col("comp").alias(f"c{name}"))
-
-    def shared(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.join(y, ["token", "bin"]).where("cx <> cy").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-        )
-
-    last = (
-        shared(side(False, True, "x"), side(True, False, "y"))
-        .union(shared(side(False, False, "x"), side(True, True, "y")))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    dealt = _in_blocks(full, blocks).select("key", "p", "q", "rep", "comp", "text")
+    found = scratch.table(
+        _dealt(dealt, partitions_for(held)).mapInArrow(_joining_links(shingle, percent), "u long, v long"),
+        "links-2",
     )
-    found = confirm(last, "links-2")
     if not found.isEmpty():
         stars = labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))
         labels = components(scratch, stars.union(found), "c2")
+    scratch.drop("apart", "held", "plausible")
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     least = (

@@ -72,3 +72,20 @@ def test_sample_draws_each_row(spark):
     assert cells(got) == cells(want)
     assert got.where("doc_id is null").count() > 0
     assert got.columns == [*docs.columns, "topic", "weight", "probability"]
+
+
+def test_one_large_group_of_edited_copies(spark, monkeypatch):
+    """Copies of an absent original: many lie at the threshold to each other,
+    buckets are hot, and blocks are small."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+    rows = []
+    for g in range(700):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 3, 4, 4, 5])):
+            copy[rng.randrange(90)] = f"e{rng.randrange(100000)}"
+        rows.append((1 + (g * 311) % 650, " ".join(copy)))
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    got = near_dedup.near_duplicates(table(spark, [(d, t, "a") for d, t in rows]), shingle=3, percent=85, bands=24)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.near(rows), key=str)
