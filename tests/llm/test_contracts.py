@@ -229,16 +229,42 @@ def test_language_held_out():
     assert (np.array(model.langs)[raw.argmax(1)] == held.lang).mean() > 0.97
 
 
-def test_toxicity_held_out_and_spoiled_words():
-    docs = labelled("inner")
-    train, held = docs[docs.crc % 4 != 2], docs[docs.crc % 4 == 2]
-    model = toxicity.Model(train.text.tolist(), train.toxic.tolist())
-    hit = model.scores(pa.array(held.text)) >= 0.3
-    assert hit[held.toxic == 1].mean() > 0.5 and hit[held.toxic == 0].mean() < 0.15
+def crc(column, n):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def test_toxicity_held_out_and_spoiled_words(spark):
+    """Many toxic labels of the tables stand on texts without any insult, so
+    recall has a ceiling below one."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(crc("doc_id", 4) != 2))
+    held = labels.where(crc("doc_id", 4) == 2).join(toxicity.score(docs, model), "doc_id").toPandas()
+    hit = held.predicted == 1
+    assert hit[held.toxic == 1].mean() > 0.84 and hit[held.toxic == 0].mean() < 0.01
     tops = model.evidence(pa.array(["an idiot", "an i.d.i.o.t", "an i d i o t", "an idxiot", "the and"]))[:, 0]
     assert (tops[:4] > 0).all() and tops[4] < 0
 
 
+def test_toxicity_of_odd_tables(spark):
+    insult = "you idiot go away now"
+    docs = [(i, f"{insult if i % 3 == 0 else 'a calm word'} number {i}") for i in range(40)]
+    docs += [(None, insult), (1, "another text of one id"), (7, None), (8, ""), (8, "x " * 50_000)]
+    labels = [(i, int(i % 3 == 0)) for i in range(40)] + [(None, 1), (3, None), (1, 0), (7, 1)]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, seg string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert [r.predicted for r in got if r.doc_id is None] == [1]
+    for none in (labels.limit(0), labels.where("toxic = 0")):
+        flat = toxicity.score(docs, toxicity.train(docs, none)).collect()
+        assert len(flat) == len(got) and not any(r.predicted for r in flat)
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
 def test_quality_keeps_clean_text():
     docs = labelled("inner")
     x = quality.bend(quality.form_features(pa.array(docs.text)))
