@@ -4,10 +4,12 @@ from stridewell.operators import (  # noqa: F401  (importing registers)
     change,
     evaluation,
     integrity,
+    pictures,
     progress,
     rollup,
     segments,
     timeline,
+    transitions,
     vectors,
 )
 from stridewell.registry import ORACLES, QUERIES

@@ -22,17 +22,6 @@ def text(num: str, den: str) -> str:
     return f"concat(({num}) div {common}, '/', ({den}) div {common})"
 
 
-def display(micros: str) -> str:
-    """``[-]HH:MM:SS.mmm``, milliseconds rounded half to even."""
-    ms = f"cast(bround(abs({micros}) / cast(1000 as decimal(20,0)), 0) as bigint)"
-    return (
-        f"concat(if({micros} < 0, '-', ''), lpad(cast({ms} div 3600000 as string), 2, '0'), ':',"
-        f" lpad(cast({ms} div 60000 % 60 as string), 2, '0'), ':',"
-        f" lpad(cast({ms} div 1000 % 60 as string), 2, '0'), '.',"
-        f" lpad(cast({ms} % 1000 as string), 3, '0'))"
-    )
-
-
 def ceil_div(a: str, b: str) -> str:
     """Least integer at least a / b, for positive b, exact on longs."""
     return f"(({a}) div ({b}) + if(({a}) % ({b}) > 0, 1, 0))"

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from stridewell.functions import rational
 from stridewell.operators.change import MIN_CHANGE, PIXEL, pixel_cuts
-from stridewell.operators.timeline import END, with_end
 from stridewell.registry import query
 from stridewell.sources.frames import by_frame, CHANGES, FRAMES, changes, frames
 
@@ -24,21 +23,21 @@ NUMBERED = f"""s AS (SELECT *, CAST(1 + sum(CASE WHEN {CUT} THEN 1 ELSE 0 END) O
 
 def segments(m):
     """One row per segment: number, frames [start_frame, end_frame), pts."""
-    s = with_end(numbered(m)).groupBy("source_id", "number").agg(
+    s = numbered(m).groupBy("source_id", "number").agg(
         F.min("frame").alias("start_frame"),
         (F.max("frame") + 1).alias("end_frame"),
         F.count("*").alias("frame_count"),
         F.min("pts").alias("start_pts"),
-        F.max("stop").alias("stop"),
+        F.max_by("own", "frame").alias("stop"),
     )
     by_number = Window.partitionBy("source_id").orderBy("number")
     return s.withColumn("end_pts", F.coalesce(F.lead("start_pts").over(by_number), F.col("stop")))
 
 
 SEGMENTS = f"""{NUMBERED}, g0 AS (SELECT source_id, number, min(frame) AS start_frame,
- max(frame) + 1 AS end_frame, count(*) AS frame_count, min(pts) AS start_pts FROM s
- GROUP BY source_id, number), g AS (SELECT g0.*, coalesce(lead(start_pts) OVER
- (PARTITION BY source_id ORDER BY number), stop) AS end_pts FROM g0, {END})"""
+ max(frame) + 1 AS end_frame, count(*) AS frame_count, min(pts) AS start_pts,
+ arg_max(own, frame) AS stop FROM s GROUP BY source_id, number), g AS (SELECT g0.*, coalesce(lead(start_pts) OVER
+ (PARTITION BY source_id ORDER BY number), stop) AS end_pts FROM g0)"""
 
 
 @query(f"""WITH {CHANGES}, {SEGMENTS} SELECT source_id, number, start_frame, end_frame,

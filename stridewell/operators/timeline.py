@@ -4,27 +4,19 @@ from pyspark.sql import functions as F
 
 from stridewell.functions import rational
 from stridewell.registry import query
-from stridewell.sources.frames import by_frame, FRAMES, whole, frames, turns
-
-END = "(SELECT max(epoch_us(ts)) + 1 AS stop FROM events)"
-
-
-def with_end(f):
-    """Adds ``stop``, the stream's end: one past the last pts of any source."""
-    return f.crossJoin(F.broadcast(f.agg((F.max("pts") + 1).alias("stop"))))  # one row
-
+from stridewell.sources.frames import FRAMES, by_frame, frames, turns, whole
 
 @query(f"""WITH {FRAMES} SELECT source_id, count(*) AS frame_count, min(pts) AS first_pts,
- max(pts) AS last_pts, any_value(stop) AS end_pts,
- CAST((any_value(stop) - min(pts)) // gcd(any_value(stop) - min(pts), 1000000) AS BIGINT) AS num,
- CAST(1000000 // gcd(any_value(stop) - min(pts), 1000000) AS BIGINT) AS den
- FROM f, {END} GROUP BY source_id""")
+ max(pts) AS last_pts, arg_max(own, frame) AS end_pts,
+ CAST((arg_max(own, frame) - min(pts)) // gcd(arg_max(own, frame) - min(pts), 1000000) AS BIGINT) AS num,
+ CAST(1000000 // gcd(arg_max(own, frame) - min(pts), 1000000) AS BIGINT) AS den
+ FROM f GROUP BY source_id""")
 def q01_timeline_summary(spark, sf_dir):
-    f = with_end(frames(spark, sf_dir)).groupBy("source_id").agg(
+    f = frames(spark, sf_dir).groupBy("source_id").agg(
         F.count("*").alias("frame_count"),
         F.min("pts").alias("first_pts"),
         F.max("pts").alias("last_pts"),
-        F.max("stop").alias("end_pts"),
+        F.max_by("own", "frame").alias("end_pts"),
     )
     common = rational.gcd("end_pts - first_pts", "1000000")
     return f.selectExpr(
@@ -33,11 +25,11 @@ def q01_timeline_summary(spark, sf_dir):
 
 
 @query(f"""WITH {FRAMES} SELECT source_id, frame, pts,
- coalesce(lead(pts) OVER (PARTITION BY source_id ORDER BY frame), stop) - pts AS duration
- FROM f, {END}""")
+ coalesce(lead(pts) OVER (PARTITION BY source_id ORDER BY frame), own) - pts AS duration
+ FROM f""")
 def q02_frame_durations(spark, sf_dir):
-    f = with_end(frames(spark, sf_dir))
-    after = F.coalesce(F.lead("pts").over(by_frame()), F.col("stop"))
+    f = frames(spark, sf_dir)
+    after = F.coalesce(F.lead("pts").over(by_frame()), F.col("own"))
     return f.select("source_id", "frame", "pts", (after - F.col("pts")).alias("duration"))
 
 

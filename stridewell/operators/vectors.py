@@ -1,84 +1,55 @@
-"""Metrics between neighbouring vectors, by array functions."""
+"""Vectors of a source: changes of label, mutual nearest neighbours."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridewell.registry import query
-from stridewell.sources.frames import by_frame, VECTORS, vectors
-
-MEAN = "aggregate({0}, cast(0 as double), (s, x) -> s + x) / size({0})"
-
-
-def neighbours(spark, sf_dir):
-    b = vectors(spark, sf_dir)
-    return b.withColumn("p", F.lag("v").over(by_frame())).where("p is not null")
-
-
-PAIRS = f"""{VECTORS}, n AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY source_id ORDER BY frame)
- AS p FROM b) WHERE p IS NOT NULL)"""
-
-
-@query(f"""WITH {PAIRS} SELECT source_id, frame,
- round(list_sum(list_transform(list_zip(v, p), lambda z: abs(z[1] - z[2]))) / 64, 6) AS mad,
- round(list_max(list_transform(range(0, 8), lambda i: list_sum(list_transform(range(1, 9), lambda j:
- abs(v[i * 8 + j] - p[i * 8 + j]))) / 8)), 6) AS block_peak,
- round(greatest(-1, least(1, (list_sum(list_transform(list_zip(v, p), lambda z: z[1] * z[2])) / 64
- - list_sum(v) / 64 * (list_sum(p) / 64)) / sqrt((list_sum(list_transform(v, lambda x: x * x)) / 64
- - pow(list_sum(v) / 64, 2)) * (list_sum(list_transform(p, lambda x: x * x)) / 64
- - pow(list_sum(p) / 64, 2))))), 5) AS corr FROM n""")
-def q11_frame_metrics(spark, sf_dir):
-    total = "aggregate({}, cast(0 as double), (s, x) -> s + x)"
-    n = neighbours(spark, sf_dir)
-    n = n.withColumn("d", F.expr("zip_with(v, p, (x, y) -> abs(x - y))")).selectExpr(
-        "source_id",
-        "frame",
-        "d",
-        f"{total.format('v')} / 64 as mv",
-        f"{total.format('p')} / 64 as mp",
-        f"{total.format('zip_with(v, p, (x, y) -> x * y)')} / 64 as vp",
-        f"{total.format('transform(v, x -> x * x)')} / 64 as vv",
-        f"{total.format('transform(p, x -> x * x)')} / 64 as pp",
-    )
-    return n.selectExpr(
-        "source_id",
-        "frame",
-        f"round({total.format('d')} / 64, 6) as mad",
-        "round(array_max(transform(sequence(0, 7), i -> aggregate(slice(d, i * 8 + 1, 8),"
-        " cast(0 as double), (s, x) -> s + x) / 8)), 6) as block_peak",
-        "round(greatest(-1, least(1, (vp - mv * mp) / sqrt((vv - mv * mv) * (pp - mp * mp)))), 5) as corr",
-    )
+from stridewell.sources.frames import VECTORS, by_frame, vectors
 
 
 @query(f"""WITH {VECTORS}, c AS (SELECT *, lag(label) OVER (PARTITION BY source_id ORDER BY frame) AS before
  FROM b) SELECT label, before, count(*) AS n FROM c WHERE before IS NOT NULL AND before <> label
  GROUP BY label, before""")
-def q25_label_transitions(spark, sf_dir):
+def q56_label_transitions(spark, sf_dir):
     c = vectors(spark, sf_dir).withColumn("before", F.lag("label").over(by_frame()))
     return c.where("before <> label").groupBy("label", "before").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {VECTORS}, w AS (SELECT source_id, frame, lag(v, 2) OVER o AS b2, lag(v) OVER o AS b1, v,
- lead(v) OVER o AS a1 FROM b WINDOW o AS (PARTITION BY source_id ORDER BY frame)),
- d AS (SELECT source_id, frame, list_sum(list_transform(list_zip(v, b1), lambda z: abs(z[1] - z[2]))) AS mad,
- list_sum(list_transform(list_zip(b1, a1), lambda z: abs(z[1] - z[2]))) AS across,
- list_sum(list_transform(list_zip(b2, v), lambda z: abs(z[1] - z[2]))) AS back FROM w
- WHERE b2 IS NOT NULL AND a1 IS NOT NULL) SELECT source_id, frame FROM d
- WHERE mad > 4 AND (across < 0.9 * mad OR back < 0.9 * mad)""")
-def q12_flash_return(spark, sf_dir):
-    """Changes after which the scene before comes back."""
-    w = vectors(spark, sf_dir).select(
-        "source_id",
-        "frame",
-        F.lag("v", 2).over(by_frame()).alias("b2"),
-        F.lag("v").over(by_frame()).alias("b1"),
-        "v",
-        F.lead("v").over(by_frame()).alias("a1"),
+# Fixed value: a nearest neighbour must be this much nearer than the next one.
+RATIO = 0.72
+OTHER = """list_transform(range(0, 64), lambda i: CASE WHEN frame % 3 = 0 THEN v[64 - i] WHEN i % 8 = frame % 8
+ THEN -v[i + 1] ELSE v[i + 1] END)"""
+
+
+@query(f"""WITH {VECTORS}, o AS (SELECT source_id, frame AS other, {OTHER} AS w FROM b),
+ x AS (SELECT b.source_id, frame, other, sum((v[k] - w[k]) * (v[k] - w[k])) AS d FROM b JOIN o USING (source_id),
+ (SELECT unnest(range(1, 65)) AS k) GROUP BY b.source_id, frame, other),
+ r AS (SELECT *, row_number() OVER (PARTITION BY source_id, frame ORDER BY d, other) AS fr,
+ lead(d) OVER (PARTITION BY source_id, frame ORDER BY d, other) AS fd,
+ row_number() OVER (PARTITION BY source_id, other ORDER BY d, frame) AS orank,
+ lead(d) OVER (PARTITION BY source_id, other ORDER BY d, frame) AS od FROM x)
+ SELECT source_id, frame, other, round(sqrt(d), 5) AS distance FROM r WHERE fr = 1 AND orank = 1
+ AND sqrt(d) < {RATIO} * sqrt(fd) AND sqrt(d) < {RATIO} * sqrt(od)""")
+def q30_mutual_match(spark, sf_dir):
+    """Pairs of a source's vectors and their altered copies that are each the
+    other's nearest, by the ratio test both ways.  A source has 64 of each, so
+    its pairs are bounded; ties go to the lower frame."""
+    b = vectors(spark, sf_dir)
+    altered = (
+        "transform(sequence(0, 63), i -> case when frame % 3 = 0 then v[63 - i]"
+        " when i % 8 = frame % 8 then -v[i] else v[i] end)"
     )
-    gap = "aggregate(zip_with({}, {}, (x, y) -> abs(x - y)), cast(0 as double), (s, x) -> s + x)"
-    d = w.where("b2 is not null and a1 is not null").selectExpr(
-        "source_id",
-        "frame",
-        gap.format("v", "b1") + " as mad",
-        gap.format("b1", "a1") + " as across",
-        gap.format("b2", "v") + " as back",
+    o = b.select("source_id", F.col("frame").alias("other"), F.expr(altered).alias("w"))
+    d = F.expr("aggregate(zip_with(v, w, (x, y) -> (x - y) * (x - y)), cast(0 as double), (s, x) -> s + x)")
+    x = b.join(o, "source_id").select("source_id", "frame", "other", d.alias("d"))
+    mine = Window.partitionBy("source_id", "frame").orderBy("d", "other")
+    theirs = Window.partitionBy("source_id", "other").orderBy("d", "frame")
+    ranked = x.select(
+        "*",
+        F.row_number().over(mine).alias("fr"),
+        F.lead("d").over(mine).alias("fd"),
+        F.row_number().over(theirs).alias("orank"),
+        F.lead("d").over(theirs).alias("od"),
     )
-    return d.where("mad > 4 and (across < 0.9 * mad or back < 0.9 * mad)").select("source_id", "frame")
+    test = f"fr = 1 and orank = 1 and sqrt(d) < {RATIO} * sqrt(fd) and sqrt(d) < {RATIO} * sqrt(od)"
+    return ranked.where(test).select("source_id", "frame", "other", F.round(F.sqrt("d"), 5).alias("distance"))

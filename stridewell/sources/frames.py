@@ -20,9 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OWN = "pts + case when k > 0 then k * 1000 else 1000000 end"
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: pts in epoch microseconds whatever the session's time
-    zone, value in cents, k of the properties, key frames."""
+    zone, value in cents, k of the properties, key frames, and ``own``, where the
+    frame ends by its decoded duration (k milliseconds) or, without one, by the
+    stream's endpoint a second later."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return (
         read(spark, sf_dir, "events")
@@ -35,30 +40,37 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_type",
         )
         .withColumn("is_key", (F.col("event_type") == "signup") | (F.col("frame") == 0))
+        .withColumn("own", F.expr(OWN))
     )
 
 
-FRAMES = """f AS (SELECT user_id AS source_id,
+FRAMES = f"""f AS (SELECT *, {OWN} AS own FROM (SELECT user_id AS source_id,
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
  epoch_us(ts) AS pts, CAST(round(value * 100) AS BIGINT) AS cents,
  CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS k, event_type,
  event_type = 'signup' OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
- AS is_key FROM events)"""
+ AS is_key FROM events))"""
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with the change from the frame before; zero at the first."""
-    before = [F.coalesce(F.lag(c).over(by_frame()), F.col(c)) for c in ("cents", "k")]
+    """Frames with the change from the frame before; zero at the first.  ``hd``
+    stands for the histogram distance, in hundredths."""
+    before = [F.coalesce(F.lag(c).over(by_frame()), F.col(c)) for c in ("cents", "k", "event_type")]
     return frames(spark, sf_dir).select(
-        "*", F.abs(F.col("cents") - before[0]).alias("mad"), F.abs(F.col("k") - before[1]).alias("kd")
-    )
+        "*",
+        F.abs(F.col("cents") - before[0]).alias("mad"),
+        F.abs(F.col("k") - before[1]).alias("kd"),
+        (F.col("event_type") != before[2]).alias("other"),
+    ).selectExpr("*", "kd div 5 + if(other, 30, 0) as hd").drop("other")
 
 
 CHANGES = (
     FRAMES
     + """, m AS (SELECT *,
  abs(cents - coalesce(lag(cents) OVER (PARTITION BY source_id ORDER BY frame), cents)) AS mad,
- abs(k - coalesce(lag(k) OVER (PARTITION BY source_id ORDER BY frame), k)) AS kd FROM f)"""
+ abs(k - coalesce(lag(k) OVER (PARTITION BY source_id ORDER BY frame), k)) AS kd,
+ abs(k - coalesce(lag(k) OVER (PARTITION BY source_id ORDER BY frame), k)) // 5 + CASE WHEN event_type <>
+ coalesce(lag(event_type) OVER (PARTITION BY source_id ORDER BY frame), event_type) THEN 30 ELSE 0 END AS hd FROM f)"""
 )
 
 #: Vectors of one source; vec_id is the order.
