@@ -2,9 +2,10 @@
 
 Of every `window - gram + 1` consecutive word grams the least hash is kept, on
 both sides, so any shared span of `window` words shares a fingerprint.  Test
-fingerprints meet training fingerprints in an equi-join; hits are extended to
-the exact windows around them on the words themselves.  All steps are built-in
-expressions.
+fingerprints meet training fingerprints in an equi-join.  A document that holds
+one takes its text along; the places of its hits are looked up again, and each
+hit is extended to the windows around it, compared on the words themselves.  All
+steps are built-in expressions.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from stridewell.llm.common import Scratch, without
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints and windows of the benchmark up to this count are broadcast
-#: (about 64 MB); more meet by a shuffled join.
-BROADCAST_ROWS = 500_000
+#: and these bytes are broadcast; more meet by a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def _folded() -> F.Column:
@@ -58,11 +59,23 @@ def _fingerprints(frame: DataFrame, window: int, gram: int, short: list[int]) ->
     return out.withColumn("fps", F.expr(f"array_distinct(concat({', '.join(lists)}))"))
 
 
+_PLACED = "array<struct<at:int,n:int,{}>>"
+
+
 def _windows(n: int) -> str:
+    """Every window of n words of ``w``, with its place."""
     return (
         f"if(size(w) >= {n}, transform(sequence(0, size(w) - {n}), i -> named_struct('at', i,"
         f" 'n', {n}, 'text', array_join(slice(w, i + 1, {n}), ' '))),"
-        " cast(array() as array<struct<at:int,n:int,text:string>>))"
+        f" cast(array() as {_PLACED.format('text:string')}))"
+    )
+
+
+def _placed(hashes: str, gram: int, n: int) -> str:
+    """Every gram's hash with its place, for windows of n words."""
+    return (
+        f"if(size(w) >= {n}, transform({_grams(hashes, gram)}, (h, i) -> named_struct('at', i, 'n', {n},"
+        f" 'fp', h)), cast(array() as {_PLACED.format('fp:bigint')}))"
     )
 
 
@@ -108,11 +121,15 @@ def _contamination(
     )  # at most window - 1 lengths
     lengths = [window, *short]
 
-    def bounded(df: DataFrame, name: str) -> DataFrame:
+    def bounded(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+        """A broadcast if rows and bytes of the table allow it, and whether."""
         df = scratch.table(df, name)
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        size = df.agg(F.count("*"), F.sum(sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns)))
+        rows, width = size.first()
+        small = rows <= BROADCAST_ROWS and (width or 0) <= BROADCAST_BYTES
+        return (F.broadcast(df) if small else df), small
 
-    prints = bounded(
+    prints, small = bounded(
         _fingerprints(items.select(F.col("folded").alias("w")), window, gram, short)
         # explode would infer a filter that repeats the expression below it in
         # every step of the loops above; explode_outer does not.
@@ -123,7 +140,7 @@ def _contamination(
         "prints",
     )
     own = F.expr(f"if(size(w) < {window}, size(w), {window})")
-    spans = bounded(
+    spans, _ = bounded(
         items.withColumn("own", own)
         .select("item_id", "own", F.explode_outer(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s"))
         .where("s.n = own")
@@ -136,42 +153,62 @@ def _contamination(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("version", F.xxhash64("text"))
+    key = ["doc_id", "version"]
     lane = raw.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        "version",
-        _words(_folded()).alias("w"),
+        F.monotonically_increasing_id().alias("row"), *key, "text", _words(_folded()).alias("w")
     )
     lane = _fingerprints(lane, window, gram, short).select(
-        "row", "doc_id", "version", F.size("w").cast("long").alias("n_words"), "fps"
+        "row", *key, "text", F.size("w").cast("long").alias("n_words"), "fps"
     )
+    # A row's first fingerprint stands for the row; the others stay only where
+    # they meet the benchmark, and then with the text.
+    own_row = ["row", *key, "n_words"]
+    met = lane.select(*own_row, "text", F.posexplode_outer("fps").alias("k", "fp"))
+    if not small:  # the join is shuffled: texts are fetched afterwards instead
+        met = met.withColumn("text", F.lit(None).cast("string"))
+    met = met.join(prints, "fp", "left").where("met = 1 or k is null or k = 0")
     scored = scratch.table(
-        lane.select("row", "doc_id", "version", "n_words", F.explode_outer("fps").alias("fp"))
-        .join(prints, "fp", "left")
-        .groupBy("row", "doc_id", "version", "n_words")
-        .agg(F.max("met").alias("met")),
+        met.groupBy(*own_row).agg(
+            F.max("met").alias("met"), F.first(F.when(F.col("met") == 1, F.col("text")), True).alias("text")
+        ),
         "scored",
     )
-    wanted = scored.where("met = 1").select("doc_id", "version").distinct()
-    key = ["doc_id", "version"]
-
-    def same(left: DataFrame, right: DataFrame):
-        return (left["version"] == right["version"]) & left["doc_id"].eqNullSafe(right["doc_id"])
-
-    held = (
-        raw.join(wanted, same(raw, wanted), "left_semi")
-        .dropDuplicates(key)
-        .select(*key, _words(exact).alias("w"))
+    held = scored.where("met = 1").select("row", *key, "text")
+    if not small:
+        whole = raw.dropDuplicates(key)
+        same = (held["version"] == whole["version"]) & held["doc_id"].eqNullSafe(whole["doc_id"])
+        held = held.drop("text").join(whole, same).select("row", whole["text"])
+    # Places of hits, and the windows around them only.
+    placed = [_placed("hashes", gram, window), *(_placed("hashes", n, n) for n in short)]
+    places = held.select("row", _words(_folded()).alias("w")).withColumn(
+        "hashes", F.expr("transform(w, x -> xxhash64(x))")
+    )
+    places = (
+        places.select("row", F.explode_outer(F.expr(f"concat({', '.join(placed)})")).alias("g"))
+        .select("row", "g.at", "g.n", F.col("g.fp").alias("fp"))
+        .join(prints, "fp")
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("at", "n")).alias("places"))  # of one document
+    )
+    near = (
+        f"array_distinct(flatten(transform(places, p -> transform(sequence(if(p.n = {window}, greatest(0,"
+        f" p.at - {window - gram}), p.at), least(p.at, size(w) - p.n)), i -> named_struct('at', i, 'n', p.n)))))"
+    )
+    around = (
+        held.select("row", _words(exact).alias("w"))
+        .join(places, "row")
+        .withColumn("near", F.expr(near))
+        .select("row", F.expr(
+            "transform(near, x -> named_struct('at', x.at, 'n', x.n, 'text', array_join(slice(w, x.at + 1, x.n), ' ')))"
+        ).alias("s"))
     )
     hits = (
-        held.select(
-            *key, F.explode_outer(F.expr(f"concat({', '.join(map(_windows, lengths))})")).alias("s")
-        )
-        .select(*key, F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.text").alias("span"))
+        around.select("row", F.explode_outer("s").alias("s"))
+        .select("row", F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.text").alias("span"))
         .join(spans, ["span", "n"])
-        .select(*key, "at", "n", "item_id")
+        .select("row", "at", "n", "item_id")
     )
-    per = hits.groupBy(*key).agg(
+    per = hits.groupBy("row").agg(
         F.collect_set("item_id").alias("items"),
         F.expr("array_sort(collect_set(named_struct('at', at, 'n', n)))").alias("at"),
     )  # a document's own windows: as large as the document
@@ -181,18 +218,12 @@ def _contamination(
         " 'end', greatest(a.end, x.at + x.n)), a -> a.hit)"
     )
     per = per.select(
-        F.col("doc_id").alias("hit_id"),
-        F.col("version").alias("hit_version"),
+        "row",
         F.expr(covered).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')").alias("said"),
     )
-    out = scored.join(
-        per,
-        (F.col("version") == F.col("hit_version")) & F.col("doc_id").eqNullSafe(F.col("hit_id")),
-        "left",
-    )
-    return out.select(
+    return scored.drop("text").join(per, "row", "left").select(
         "doc_id",
         "version",
         "n_words",

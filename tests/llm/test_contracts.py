@@ -99,7 +99,9 @@ def test_redaction(spark):
     assert out == {1: 'a [SECRET]" b', 2: None, 3: "clean"}
 
 
-def test_decontamination(spark, texts):
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_decontamination(spark, texts, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_broadcast)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(900, "two words"), (901, None), (902, "..")]
     rows = [*texts, (7000, "Two words, " + items[3][1].upper() + " TWO WORDS")]
