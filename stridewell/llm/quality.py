@@ -2,9 +2,14 @@
 
 A logistic model on form features gives each document its evidence.  Grouped
 aggregation turns evidence into posteriors of hosts and of the paths below
-them: beta priors whose strength is fitted to the spread between groups shrink
-a sparse path toward its host and a sparse host toward the global rate.  The
-document's posterior combines its own evidence with its path's posterior.
+them: a sparse path shrinks toward its host and a sparse host toward the global
+rate.  Both strengths are fitted by the moments of a nested analysis of
+variance, so that what small groups scatter by chance counts as no spread.  A
+document's posterior combines its own evidence with that of the others on its
+path; its own counts once.
+
+The documents of the queries have neither host nor path: their source stands for
+the host, source and language for the path.
 """
 
 from __future__ import annotations
@@ -14,20 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridewell.llm.common import NOT_SPACE, byte_class, row_key, text_slices, without, words
+from stridewell.llm.common import (
+    NOT_SPACE,
+    Scratch,
+    byte_class,
+    row_key,
+    text_slices,
+    without,
+    word_hashes,
+    words,
+)
 
 LETTER = byte_class((65, 90), (97, 122), (128, 255))
 UPPER = byte_class((65, 90))
 DIGIT = byte_class((48, 57))
 MARK = byte_class((33, 43), (45, 45), (47, 47), (58, 64), (91, 96), (123, 126))
 BAR = byte_class((124, 124))
-N_FEATURES = 10
+N_FEATURES = 11
 
 
 def form_features(column: pa.Array) -> np.ndarray:
     """Per text: shares of letters, capitals, digits and marks among the bytes,
     words that carry a mark, bars a word, mean word length, share of repeated
-    lines, and log length.  Null and empty texts give zeros."""
+    lines, log length, and share of words that repeat the one before.  Null and
+    empty texts give zeros."""
     rows = []
     for lo, hi, data, offsets in text_slices(column):
         starts, ends, first = words(data, offsets, NOT_SPACE)
@@ -39,6 +54,9 @@ def form_features(column: pa.Array) -> np.ndarray:
         marked = np.concatenate(
             [[0], np.cumsum((sums[3][ends] - sums[3][starts]) > 0, dtype=np.int64)]
         )
+        hashes = word_hashes(data, starts, ends)
+        again = np.zeros(len(hashes) + 1, np.int64)
+        np.cumsum(hashes[1:] == hashes[:-1], out=again[2:])
         for i in range(hi - lo):
             a, b = offsets[i], offsets[i + 1]
             n, w = b - a, first[i + 1] - first[i]
@@ -64,6 +82,7 @@ def form_features(column: pa.Array) -> np.ndarray:
                         repeated,
                         np.log1p(w) / 10,
                         1.0 / w,
+                        (again[first[i + 1]] - again[first[i] + 1]) / w,
                     ]
                 )
             )
@@ -95,8 +114,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> np.ndarray:
-    """Fit on at most ``most`` labelled documents, those of least id hash
-    (documented bound; everything else covers all documents)."""
+    """Fit on at most ``most`` labelled ids, those of least hash (documented
+    bound; everything else covers all documents).  Null ids and labels teach
+    nothing, of repeated labels the larger counts, and of a repeated id all
+    rows; without labels every document has the evidence one half.  Eleven
+    numbers a row come to the driver."""
     chosen = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -123,11 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> np.ndarray:
     return fit_logistic(bend(x), rows["y"].to_numpy(float))
 
 
+#: Bounds of a prior's strength, in documents.
+LEAST, MOST = 2, 10_000
+#: Moments: noise of a document about its path, variance of paths about their
+#: host and of hosts about the whole; none of them below zero.
+STRENGTHS = (
+    "greatest(0.0D, coalesce(try_divide(within, total - paths), 0.0D)) as noise",
+    "greatest(0.0D, coalesce(try_divide(path_spread - (paths - hosts) * noise, total - own), 0.0D)) as path_variance",
+    "greatest(0.0D, coalesce(try_divide(host_spread - (hosts - 1) * noise - path_variance * (own - nn / total),"
+    " total - hh / total), 0.0D)) as host_variance",
+)
+
+
 def posterior(
     docs: DataFrame, beta: np.ndarray, host_col: str = "source", path_cols: tuple = ("lang",)
 ) -> DataFrame:
-    """One row per input row: doc_id, host, path, p_doc, p_host, p_path,
-    posterior and keep (posterior of good quality at least one half).
+    """One row per input row: doc_id, host, path, p_doc, p_host, p_path (the
+    posteriors of host and path without the row itself), posterior and keep
+    (posterior of good quality at least one half).
 
     Null and empty texts have the evidence of zero features; null hosts and
     paths form a group of their own; null ids and repeated rows stay; an empty
@@ -161,50 +196,49 @@ def _posterior(docs: DataFrame, beta: np.ndarray, host_col="source", path_cols=(
         path.alias("path"),
         F.col("text").cast("string").alias("text"),
     ).mapInArrow(score, "doc_id long, key long, host string, path string, p_doc double")
-    from stridewell.llm.common import Scratch
-
     scored = Scratch(docs.sparkSession, "quality").table(scored, "scored")
     paths = scored.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.sum("p_doc").alias("s")
-    )
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = hosts.agg(F.sum("hn").alias("tn"), F.sum("hs").alias("ts"))
-    rate = F.col("ts") / F.col("tn")
-    between = hosts.crossJoin(F.broadcast(total)).agg(  # one row
-        F.first("tn").alias("tn"),
-        F.first("ts").alias("ts"),
-        F.sum("hn" ).alias("w"),
-        F.sum(F.col("hn") * F.pow(F.col("hs") / F.col("hn") - rate, 2)).alias("spread"),
-        F.count("*").alias("groups"),
+        F.count("*").alias("n"), F.sum("p_doc").alias("s"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("q")
     )
-    # Strength of the prior from the moments of group rates: rate (1 - rate)
-    # over their variance, less one; kept within [2, 1000].
-    variance = F.col("spread") / F.col("w")
-    strength = F.greatest(
-        F.lit(2.0),
-        F.least(F.lit(1000.0), F.coalesce(F.try_divide(rate * (1 - rate), variance) - 1, F.lit(1000.0))),
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("hn"),
+        F.sum("s").alias("hs"),
+        F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"),
+        F.sum(F.col("n") * F.col("n")).alias("nn"),
+        F.count("*").alias("np"),
     )
-    prior = between.select(rate.alias("rate"), strength.alias("k"))
-    hosts = hosts.crossJoin(F.broadcast(prior)).select(
-        "host",
+    prior = hosts.agg(
+        F.sum("hn").alias("total"),
+        (F.sum("hs") / F.sum("hn")).alias("rate"),
+        F.sum("within").alias("within"),
+        # Spread of paths about their host and of hosts about the whole.
+        F.sum(F.col("between") - F.col("hs") * F.col("hs") / F.col("hn")).alias("path_spread"),
+        (F.sum(F.col("hs") * F.col("hs") / F.col("hn")) - F.sum("hs") * F.sum("hs") / F.sum("hn")).alias("host_spread"),
+        F.sum("np").alias("paths"),
+        F.count("*").alias("hosts"),
+        F.sum(F.col("nn") / F.col("hn")).alias("own"),
+        F.sum("nn").alias("nn"),
+        F.sum(F.col("hn") * F.col("hn")).alias("hh"),
+    ).selectExpr("*", *STRENGTHS[:1]).selectExpr("*", *STRENGTHS[1:2]).selectExpr("*", *STRENGTHS[2:3])
+    k = "least({most}D, greatest({least}D, coalesce(try_divide(noise, {v}), {most}D)))"
+    prior = prior.selectExpr(
         "rate",
-        "k",
-        ((F.col("hs") + F.col("k") * F.col("rate")) / (F.col("hn") + F.col("k"))).alias("p_host"),
-    )
-    groups = paths.join(hosts, "host").select(
-        "host",
-        "path",
-        "rate",
-        "p_host",
-        ((F.col("s") + F.col("k") * F.col("p_host")) / (F.col("n") + F.col("k"))).alias("p_path"),
+        k.format(v="host_variance", most=MOST, least=LEAST) + " as k_host",
+        k.format(v="path_variance", most=MOST, least=LEAST) + " as k_path",
     )
+    groups = paths.join(hosts.select("host", "hn", "hs"), "host").crossJoin(F.broadcast(prior))  # one row
 
     def logit(name):
         p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(name)))
         return F.log(p / (1 - p))
 
     own = logit("p_doc") + logit("p_path") - logit("rate")
-    out = scored.join(groups, ["host", "path"])
+    out = (
+        scored.join(groups, ["host", "path"])
+        .withColumn("p_host", F.expr("(hs - p_doc + k_host * rate) / (hn - 1 + k_host)"))
+        .withColumn("p_path", F.expr("(s - p_doc + k_path * p_host) / (n - 1 + k_path)"))
+    )
     out = out.withColumn("posterior", 1 / (1 + F.exp(-own)))
     return out.select(
         "doc_id",
@@ -220,6 +254,8 @@ def _posterior(docs: DataFrame, beta: np.ndarray, host_col="source", path_cols=(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
+    """``docs`` without the rows that the classifier rejects: all columns; null
+    and repeated ids are told apart by text, host and path; without labels every
+    row stays; an empty table stays empty."""
     bad = _posterior(docs, fit(docs, labels)).where("not keep")
     return without(docs, bad, row_key(F.col("doc_id"), F.col("text"), *_groups()))
