@@ -1,12 +1,15 @@
 """Exact removal of repeated word windows by level-wise doubling.
 
-Level one looks at short windows and samples them: of every `target` words only
-the short window of least hash is sent, which loses nothing, as equal target
-windows hold the same one.  A short window seen in one document alone ends
-there.  Around those that repeat, windows of twice the length are formed, and
-so on until the target length, where the repeated ones decide.  Each level is
-one shuffle of packed hashes by hash range and one of its survivors back to
-their documents; no document is ever expanded into rows.
+Level one looks at windows of four words and samples them: of every `target`
+words only the short window of least hash is sent, which loses nothing, as equal
+target windows hold the same one.  A short window seen in one document alone
+ends there.  Around those that repeat, windows of twice the length are formed,
+and so on until no candidate is left or the target length is reached, where the
+repeated ones decide.  Each level is one shuffle of packed hashes by hash range
+and one of its survivors back to their documents; no document is ever expanded
+into rows.  The last two levels share a shuffle: a target window is dealt by the
+hash of the window of the level before that it begins with, so both levels meet
+in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from stridewell.llm.common import (
     NOT_SPACE,
     U,
     gram_hashes,
+    mix,
     partitions_for,
     text_slices,
     window_min,
@@ -90,7 +94,7 @@ def _by_hash(doc, key, buckets):
 
 
 def _by_doc(doc, key, buckets):
-    return (doc % buckets).astype(np.int32)
+    return (mix(doc.view(U)) % U(buckets)).astype(np.int32)
 
 
 class _Slice:
@@ -163,13 +167,15 @@ def _repeated(buckets: int, final: bool):
     documents: every (document, hash) of a hash in two documents or more, at
     the last level but those of the smallest document.
 
-    Held are the rows not yet folded and, of folded ones, one row per hash (its
+    At the last level a row's key is the hash of the level before, and its mark
+    the target window's, which goes back.  Held are the rows not yet folded and, of folded ones, one row per hash (its
     smallest document), so a hash that a third of all documents share takes one
     entry.
     """
 
     def run(batches):
-        held: list[tuple] = [tuple(np.zeros(0, t) for t in (np.int64, U, np.uint32, bool))]
+        kind = U if final else np.uint32
+        held: list[tuple] = [tuple(np.zeros(0, t) for t in (np.int64, U, kind, bool))]
         count = 0
 
         def fold():
@@ -190,7 +196,7 @@ def _repeated(buckets: int, final: bool):
             if not final:
                 lead = lead | several | before
             held[:] = [(doc[head], key[head], mark[head], lead)]
-            return [doc[hit]], [key[hit]], [mark[hit]]
+            return [doc[hit]], [mark[hit] if final else key[hit]], [np.zeros(int(hit.sum()), np.uint8)]
 
         for batch in batches:
             docs, keys, marks = (batch.column(i) for i in (1, 2, 3))
@@ -200,7 +206,7 @@ def _repeated(buckets: int, final: bool):
                     (
                         doc,
                         np.frombuffer(keys[i].as_py(), U),
-                        np.frombuffer(marks[i].as_py(), np.uint32),
+                        np.frombuffer(marks[i].as_py(), kind),
                         np.zeros(len(doc), bool),
                     )
                 )
@@ -221,7 +227,9 @@ def _packed_texts(buckets: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            to = (ids % buckets).astype(np.int32)
+            to = _by_doc(ids, None, buckets)
+            spread = np.arange(len(ids), dtype=np.int32) % buckets  # null ids meet nothing
+            to = np.where(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), spread, to)
             order = np.argsort(to, kind="stable")
             batch, to = batch.take(pa.array(order)), to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
@@ -265,7 +273,10 @@ def _with_survivors(batches):
                 alive[int(doc[a])].append(key[a:b])
 
 
-def _next_level(k: int, wider: int, first: bool, target: int, buckets: int):
+def _next_level(k: int, wider: int, first: bool, target: int, buckets: int, final: bool):
+    """Around the windows of k words that survived, those of ``wider`` words; at
+    the last level with the target window that each begins."""
+
     def run(batches):
         out: tuple[list, list, list] = ([], [], [])
         count = 0
@@ -278,7 +289,7 @@ def _next_level(k: int, wider: int, first: bool, target: int, buckets: int):
                 live = x.alive(x.sampled(k) if first else x.begun(k), ids, alive)
                 out[0].append(number[x.lo + x.own[live]])
                 out[1].append(x.begun(wider)[live])
-                out[2].append(x.second(wider)[live])
+                out[2].append(x.begun(target)[live] if final else x.second(wider)[live])
                 count += int(live.sum())
             if count >= SEND:  # texts come in small packs: rows in few
                 yield from _send(*out, _by_hash, buckets)
@@ -343,7 +354,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     target: int = 13,
-    start: int = 7,
+    start: int = 4,
     with_text: bool = True,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and
@@ -353,7 +364,8 @@ def remove_repeats(
     document of smaller id; windows are those of the input.  Null and wordless
     texts have no words.  Rows of null id neither remove nor lose words; rows
     that repeat an id do not remove each other's.  An empty table gives no
-    rows.  Windows are told apart by 96 bits of two hashes.
+    rows.  Windows are told apart by 64 bits of a hash, and those of the last
+    level by 64 bits more.
     """
     spark = docs.sparkSession
     buckets = partitions_for(docs, 16 << 20)
@@ -373,13 +385,13 @@ def remove_repeats(
     def reduced(sent: DataFrame, final: bool) -> DataFrame:
         return sent.repartition(buckets, "bucket").mapInArrow(_repeated(buckets, final), PACKED)
 
-    if len(steps) == 1:  # the target is no longer than the first length
-        steps = [target, target]
+    while len(steps) < 3:  # a short target: its own level is the one before, too
+        steps.append(target)
     now = reduced(texts.mapInArrow(_first_level(steps[0], target, buckets), PACKED), False)
-    for i, (k, wider) in enumerate(zip(steps, steps[1:])):
+    for i, (k, wider) in enumerate(zip(steps, steps[1:-1])):
+        final = i == len(steps) - 3
         now = reduced(
-            met(now).mapInArrow(_next_level(k, wider, i == 0, target, buckets), PACKED),
-            wider == target,
+            met(now).mapInArrow(_next_level(k, wider, i == 0, target, buckets, final), PACKED), final
         )
     out = met(now).mapInArrow(
         _remove(target),

@@ -63,6 +63,9 @@ def test_substring(spark, texts):
     rows = [*texts, (None, texts[3][1]), (6000, " ".join(["w"] * 40)), (6001, " ".join(["w"] * 14))]
     got = substring_dedup.remove_repeats(frame(spark, rows), with_text=False)
     assert rows_of(got) == sorted(brute.substring(rows), key=str)
+    for target in (2, 6, 40):
+        got = substring_dedup.remove_repeats(frame(spark, rows), target=target, with_text=False)
+        assert rows_of(got) == sorted(brute.substring(rows, target), key=str)
 
 
 def test_near_duplicates_of_edited_copies(spark, texts):
