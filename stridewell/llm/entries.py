@@ -43,8 +43,11 @@ def op3_media(spark, sf_dir):
 
 
 def op4_secrets(spark, sf_dir):
-    found = secret_ledger.BlobLedger(spark).scan(_read(spark, sf_dir, "documents"))
-    return secret_ledger.digest_columns(found)
+    """The ledger takes in all documents; a second scan finds every pair of blob
+    and rules there and answers from it."""
+    docs, ledger = _read(spark, sf_dir, "documents"), secret_ledger.BlobLedger(spark)
+    ledger.scan(docs)
+    return secret_ledger.digest_columns(ledger.scan(docs))
 
 
 def op5_decontamination(spark, sf_dir):

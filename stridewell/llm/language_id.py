@@ -19,6 +19,8 @@ BASE = 64
 SIZES = (BASE, BASE**2, BASE**3)
 SPACE = sum(SIZES)
 BLOCK = 64
+#: Shares of a language's rows in which its sample is first chosen.
+SHARES = 64
 
 
 def _classes() -> np.ndarray:
@@ -124,22 +126,35 @@ def has_letter(text: str | None) -> bool:
 
 
 def train(
-    docs: DataFrame, per_language: int = 400, landmarks: int = 40, text_col="text", lang_col="lang"
+    docs: DataFrame,
+    per_language: int = 400,
+    landmarks: int = 40,
+    text_col="text",
+    lang_col="lang",
+    languages: int = 200,
 ) -> Model:
-    """Fit on at most ``per_language`` texts of each language, those of least
-    hash of the id (a documented bound; landmarks are the first of these)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = (
-        docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select("doc_id", F.col(lang_col).alias("lang"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_language)
-    )
+    """Fit on at most ``per_language`` texts of each of at most ``languages``
+    languages (the most frequent, ties by name), those of least hash of id and
+    text (documented bounds; landmarks are the first of these).  Null texts and
+    languages teach nothing; an empty table gives a model that knows none."""
+    key = F.xxhash64(F.xxhash64("doc_id"), F.col("text"))
+    known = docs.select(
+        F.col("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")
+    ).where("lang is not null and text is not null")
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # Per language first within shares of its rows, then among what these leave,
+    # so that no task sorts a whole language.
+    shares = known.select("lang", key.alias("key")).distinct().withColumn("share", F.pmod("key", F.lit(SHARES)))
+    for parts in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*parts).orderBy("key")
+        shares = shares.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    rows = shares.join(F.broadcast(most.select("lang")), "lang", "left_semi").select("lang", "key")
     chosen = (
-        docs.select("doc_id", F.col(text_col).alias("text"))
-        .join(F.broadcast(rows), "doc_id")  # per_language rows a language at most
-        .select("doc_id", "lang", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        known.withColumn("key", key)
+        .join(F.broadcast(rows), ["lang", "key"])  # per_language rows a language at most
+        .select("lang", "key", "text")
+        .dropDuplicates(["lang", "key"])
+        .orderBy("key", "lang")
         .toPandas()
     )
     usable = [has_letter(x) for x in chosen["text"]]

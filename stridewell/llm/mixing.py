@@ -4,6 +4,9 @@ Token counts are aggregated to cells (source, language, topic).  Raking scales
 the cells until the token shares of each marginal are the target's; a
 document's probability is its cell's factor, calibrated so that the expected
 tokens meet the budget, and a hash of its id decides.
+
+Topics are learned: spherical k-means over hashed word counts of a bounded
+sample gives centres, and every document goes to the nearest one.
 """
 
 from __future__ import annotations
@@ -12,56 +15,111 @@ import math
 import warnings
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stridewell.llm.common import Scratch
+from stridewell.llm.common import NOT_SPACE, LOWER, Scratch, U, text_slices, word_hashes, words
 
 AXES = ("source", "lang", "topic")
 #: Cells above this count are raked by distributed steps instead of in memory.
 CELLS_IN_MEMORY = 200_000
-TOPICS = 4
+#: Topics, hashed features of a text, and texts that topics are learned from.
+TOPICS, FEATURES, SAMPLE = 8, 256, 2000
 #: Raking ends, in memory or distributed, at this residual or after these rounds.
 CLOSE = 1e-10
 ROUNDS = 1000
 
 
-def with_cells(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens (runs of non-space).  The topic
-    is read from the text's form: list, numeric, long or plain.  Null keys
-    become the value 'none'; null texts have no tokens.  ``also``: columns to
-    keep."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def word_profiles(column: pa.Array):
+    """Per text: number of words and the roots of its hashed word counts, of
+    length one (zero without words)."""
+    for lo, hi, data, offsets in text_slices(column):
+        data = LOWER[data]
+        starts, ends, first = words(data, offsets, NOT_SPACE)
+        at = (word_hashes(data, starts, ends) % U(FEATURES)).astype(np.int64)
+        at += np.repeat(np.arange(hi - lo), np.diff(first)) * FEATURES
+        x = np.sqrt(np.bincount(at, minlength=(hi - lo) * FEATURES).reshape(-1, FEATURES))
+        yield np.diff(first), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, most: int = SAMPLE) -> np.ndarray:
+    """Centres of ``topics`` groups of at most ``most`` texts, those of least
+    hash of id and text (a documented bound).  Groups begin as equal parts along
+    the first principal direction, ties in order of the features.  Null and
+    wordless texts teach nothing; without any the one centre is zero."""
+    chosen = (
+        docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        .where("text is not null")
+        .orderBy(F.xxhash64("doc_id", "text"))
+        .limit(most)
+    )
+
+    def features(batches):
+        for batch in batches:
+            for _, x in word_profiles(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["x"])
+
+    rows = chosen.select("text").mapInArrow(features, "x array<double>").toPandas()["x"].tolist()
+    x = np.array(sorted(tuple(r) for r in rows)).reshape(-1, FEATURES)
+    x = x[np.abs(x).sum(1) > 0]
+    if not len(x):
+        return np.zeros((1, FEATURES))
+    values, directions = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(FEATURES))
+    line = directions[:, values.argmax()]
+    line *= np.sign(line[np.abs(line).argmax()])
+    parts = np.array_split(np.argsort(np.round(x @ line, 9), kind="stable"), min(topics, len(x)))
+    centres = np.array([x[k].mean(0) for k in parts])
+    for _ in range(20):
+        own = (x @ centres.T).argmax(1)
+        moved = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
+        if np.abs(moved - centres).max() < 1e-9:
+            break
+        centres = moved
+    return centres
+
+
+def with_cells(docs: DataFrame, centres: np.ndarray, *also: str) -> DataFrame:
+    """doc_id, source, lang, topic (of the nearest centre, 'none' for texts
+    without words) and n_tokens (runs of non-space).  Null keys become the value
+    'none'; null texts have no tokens.  ``also``: columns to keep."""
     named = docs.select(
+        *also,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"),
-        text.alias("text"),
-        *also,
-    )
-    return named.select(
-        *also,
-        "doc_id",
-        "source",
-        "lang",
-        F.when(F.contains("text", F.lit(" | ")), "list")
-        .when(F.col("text").rlike("[0-9]{3}"), "numeric")
-        .when(F.length("text") >= 4000, "long")
-        .otherwise("plain")
-        .alias("topic"),
-        F.expr("regexp_count(text, '[^ \\\\n\\\\t\\\\r]+')").cast("long").alias("n_tokens"),
+        F.col("text").cast("string").alias("text"),
     )
+    kept = [c for c in named.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            topic, count = [], []
+            for n, x in word_profiles(batch.column("text")):
+                best = (x @ centres.T).argmax(1)
+                topic += [f"t{k}" if m else "none" for k, m in zip(best.tolist(), n.tolist(), strict=True)]
+                count += n.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(topic, pa.string()), pa.array(count, pa.int64())],
+                [*kept, "topic", "n_tokens"],
+            )
+
+    fields = [f for f in named.schema if f.name != "text"]
+    return named.mapInArrow(run, StructType(fields).add("topic", "string").add("n_tokens", "long"))
 
 
 def tempered(cells: list[dict], power: float = 0.5) -> dict[str, dict[str, float]]:
-    """Target marginals that flatten the present ones: share ** power, scaled
-    to one, on each axis."""
+    """Target marginals that flatten the present mixture: those of the cells'
+    tokens ** power, scaled to one.  A mixture of the same cells has them, so
+    raking can meet all of them at once, however the axes depend on each other."""
     out = {}
     for axis in AXES:
         mass: dict[str, float] = {}
         for c in cells:
-            mass[c[axis]] = mass.get(c[axis], 0) + c["tokens"]
-        mass = {k: v**power for k, v in mass.items() if v > 0}
+            if c["tokens"] > 0:
+                mass[c[axis]] = mass.get(c[axis], 0) + c["tokens"] ** power
         total = sum(mass.values()) or 1.0
         out[axis] = {k: v / total for k, v in mass.items()}
     return out
@@ -164,7 +222,7 @@ def calibrated(
     the budget.  Ties of id fall together, as the draw is a hash of the id;
     null ids hash as such; an empty table gives no rows.
     """
-    rows, weighted, rate = _weights(docs, targets, keep_share)
+    rows, weighted, rate, _ = _weights(docs, targets, keep_share)
     out = rows.join(weighted, list(AXES))
     return out.select(
         "doc_id",
@@ -185,10 +243,12 @@ def _draw(seed: int) -> F.Column:
 
 def _weights(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float
-) -> tuple[DataFrame, DataFrame, float]:
-    """Rows with their cells, the factor of each cell, and the rate."""
+) -> tuple[DataFrame, DataFrame, float, np.ndarray]:
+    """Rows with their cells, the factor of each cell, the rate, and the topics'
+    centres."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.table(with_cells(docs), "rows")
+    centres = learn_topics(docs)
+    rows = scratch.table(with_cells(docs, centres), "rows")
     grouped = rows.groupBy(*AXES).agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")
     )
@@ -218,7 +278,7 @@ def _weights(
                 )
             else:
                 share = grouped.groupBy(F.col(axis).alias("value")).agg(
-                    F.sqrt(F.sum("tokens")).alias("share")
+                    F.sum(F.sqrt("tokens")).alias("share")
                 )
             shares[axis] = share
         weighted = rake_distributed(scratch, grouped, shares).select(*AXES, "factor", "tokens")
@@ -241,7 +301,7 @@ def _weights(
         rate = better
     else:
         _report("the rate", moved)
-    return rows, weighted.drop("tokens"), rate
+    return rows, weighted.drop("tokens"), rate, centres
 
 
 def sample(
@@ -251,11 +311,14 @@ def sample(
     seed: int = 1,
 ) -> DataFrame:
     """The sampled rows of ``docs`` with topic, weight and probability: each
-    row is drawn by its own cell and id, as in calibrated()."""
-    _, weighted, rate = _weights(docs, targets, keep_share)
+    row is drawn by its own cell and id, as in calibrated().  Columns of these
+    three names are replaced; an empty table stays empty."""
+    _, weighted, rate, centres = _weights(docs, targets, keep_share)
     whole = docs.drop("topic", "weight", "probability")
-    cells = with_cells(docs.select(F.struct(*whole.columns).alias("row"), "*"), "row")
+    read = ("doc_id", "source", "lang", "text")
+    rows = docs.select(F.struct(*whole.columns).alias("_kept"), *read)
+    cells = with_cells(rows, centres, "_kept")
     out = cells.join(weighted, list(AXES)).where(_draw(seed) < _probability(rate))
     return out.select(
-        "row.*", "topic", F.col("factor").alias("weight"), _probability(rate).alias("probability")
+        "_kept.*", "topic", F.col("factor").alias("weight"), _probability(rate).alias("probability")
     )

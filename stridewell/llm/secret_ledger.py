@@ -41,6 +41,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
+#: Matches of one rule that are placed together.
+BLOCK = 256
 SPAN = "struct<kind:string,rank:int,start:int,end:int>"
 
 
@@ -59,16 +61,27 @@ def _spans(rule: Rule, rank: int) -> str:
     q = _quoted(rule.pattern)
     found = f"regexp_extract_all(text, {q}, 0)"
     value = f"regexp_extract_all(text, {q}, {rule.group})"
-    walk = (
-        f"aggregate(arrays_zip(slice(split(text, {q}, -1), 1, size({found})),"
-        f" {found}, {value}),"
-        f" named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),"
-        f" (a, x) -> named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out',"
+    # Matches in blocks: sums over blocks give where each begins, so the cost of
+    # the growing arrays is bounded by the block, not by a text's matches.
+    pieces = f"arrays_zip(slice(split(text, {q}, -1), 1, size({found})), {found}, {value})"
+    long = "length(x.`0`) + length(x.`1`)"
+    step = (
+        f"aggregate(p, named_struct('at', s, 'out', cast(array() as array<{SPAN}>)),"
+        f" (a, x) -> named_struct('at', a.at + {long}, 'out',"
         f" if(length(x.`2`) >= {rule.least}, array_append(a.out, named_struct("
         f"'kind', '{rule.kind}', 'rank', {rank}, 'start', a.at + length(x.`0`),"
-        f" 'end', a.at + length(x.`0`) + length(x.`1`))), a.out)),"
-        f" a -> a.out)"
+        f" 'end', a.at + {long})), a.out)), a -> a.out)"
     )
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    blocks = f"transform(sequence(0, (size(m) - 1) div {BLOCK}), b -> slice(m, b * {BLOCK} + 1, {BLOCK}))"
+    begun = (
+        "slice(aggregate(ps, array(0), (a, p) -> array_append(a, element_at(a, -1)"
+        f" + aggregate(p, 0, (t, x) -> t + {long}))), 1, size(ps))"
+    )
+    walk = let("m", pieces, let("ps", blocks, f"flatten(zip_with({begun}, ps, (s, p) -> {step}))"))
     return f"if(text rlike {q}, {walk}, cast(array() as array<{SPAN}>))"
 
 
@@ -110,21 +123,28 @@ class BlobLedger:
         """One row per input row: id, blob and spans (array of kind, start,
         end; code points, end exclusive).  Null text counts as empty; empty
         texts have no spans; null ids and repeated rows stay; an empty table
-        gives no rows."""
+        gives no rows.
+
+        A blob that two scans at once both find unseen is appended twice and
+        read once.  Without any unseen blob no text is moved."""
         version = rule_version(rules)
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         paths = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn(
             "blob", F.sha2("text", 256)
         )
-        seen = self.entries().where(F.col("rule_version") == version)
-        unseen = paths.select("blob", "text")
         if self.entries().limit(1).count():
-            unseen = unseen.join(seen.select("blob"), "blob", "left_anti")
-        fresh = find_spans(unseen.dropDuplicates(["blob"]), rules)
-        fresh.select("blob", "spans", F.lit(version).alias("rule_version")).write.mode(
-            "append"
-        ).parquet(self.path)
-        known = self.entries().where(F.col("rule_version") == version)
+            seen = self.entries().where(F.col("rule_version") == version)
+            todo = paths.select("blob").distinct().join(seen.select("blob"), "blob", "left_anti")
+            todo = Scratch(self.spark, "ledger").table(todo, "unseen")
+            unseen = None if todo.isEmpty() else paths.select("blob", "text").join(todo, "blob", "left_semi")
+        else:
+            unseen = paths.select("blob", "text")
+        if unseen is not None:
+            fresh = find_spans(unseen.dropDuplicates(["blob"]), rules)
+            fresh.select("blob", "spans", F.lit(version).alias("rule_version")).write.mode(
+                "append"
+            ).parquet(self.path)
+        known = self.entries().where(F.col("rule_version") == version).dropDuplicates(["blob"])
         return paths.select("id", "blob").join(known.select("blob", "spans"), "blob").select(
             F.col("id").alias(id_col), "blob", "spans"
         )

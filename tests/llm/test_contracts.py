@@ -200,17 +200,6 @@ def test_raking_meets_marginals():
             assert abs(mass / total - share) < 1e-6
 
 
-def test_distributed_raking_agrees(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    monkeypatch.setattr(mixing.rake, "__defaults__", (8, 1e-10))  # as many rounds
-    small = {r.doc_id: r.weight for r in mixing.calibrated(docs).collect()}
-    monkeypatch.setattr(mixing, "CELLS_IN_MEMORY", 0)
-    monkeypatch.setattr(mixing.rake_distributed, "__defaults__", (8,))
-    large = {r.doc_id: r.weight for r in mixing.calibrated(docs).collect()}
-    assert small.keys() == large.keys()
-    assert max(abs(small[d] - large[d]) for d in small) < 1e-2
-
-
 def test_licences(spark):
     rows = [(1, "Hello\nReleased under the MIT License.\nbye"), (2, None), (3, "Licensed under CC BY-NC 4.0."), (4, "no licence at all here")]
     got = {r.doc_id: (r.licence, r.n_matched) for r in licences.scan(frame(spark, rows)).collect()}
