@@ -17,6 +17,7 @@ from stridewell.llm import (
     substring_dedup,
     toxicity,
 )
+from stridewell.llm.oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,4 +99,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
