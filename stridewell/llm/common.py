@@ -59,6 +59,20 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(least, min(200_000, -(-input_bytes(df) // bytes_each)))
 
 
+#: Range of the ranks by which samples are drawn, and by how much more rows than
+#: wanted pass the threshold.
+RANKS, MARGIN = 1 << 40, 4
+
+
+def low_ranks(df: DataFrame, hash_: Column, most: int) -> DataFrame:
+    """Rows of ``df`` with ``rank`` (of the hash), without most of those that are
+    not among the ``most`` lowest: the threshold follows from the number of rows.
+    So what is sorted afterwards does not grow with the table."""
+    share = min(1.0, MARGIN * most / max(1, df.count()))
+    ranked = df.withColumn("rank", F.pmod(hash_, F.lit(RANKS)))
+    return ranked.where(F.col("rank") < int(share * RANKS))
+
+
 # --------------------------------------------------------------------------
 # decisions on rows
 

@@ -13,14 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridewell.llm.common import text_slices
+from stridewell.llm.common import MARGIN, RANKS, text_slices
 
 BASE = 64
 SIZES = (BASE, BASE**2, BASE**3)
 SPACE = sum(SIZES)
 BLOCK = 64
-#: Shares of a language's rows in which its sample is first chosen.
-SHARES = 64
 
 
 def _classes() -> np.ndarray:
@@ -142,13 +140,13 @@ def train(
         F.col("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")
     ).where("lang is not null and text is not null")
     most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # Per language first within shares of its rows, then among what these leave,
-    # so that no task sorts a whole language.
-    shares = known.select("lang", key.alias("key")).distinct().withColumn("share", F.pmod("key", F.lit(SHARES)))
-    for parts in (["lang", "share"], ["lang"]):
-        order = Window.partitionBy(*parts).orderBy("key")
-        shares = shares.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
-    rows = shares.join(F.broadcast(most.select("lang")), "lang", "left_semi").select("lang", "key")
+    # A language's rows under a threshold that follows from their number, so
+    # that no task sorts a whole language; of these the least.
+    ranked = known.select("lang", key.alias("key")).join(F.broadcast(most), "lang")
+    low = F.pmod("key", F.lit(RANKS)) < F.lit(float(RANKS)) * MARGIN * per_language / F.col("n")
+    order = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(RANKS)), "key")
+    rows = ranked.where(low).select("lang", "key").distinct().withColumn("n", F.row_number().over(order))
+    rows = rows.where(F.col("n") <= per_language).drop("n")
     chosen = (
         known.withColumn("key", key)
         .join(F.broadcast(rows), ["lang", "key"])  # per_language rows a language at most

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stridewell.llm.common import NOT_SPACE, LOWER, Scratch, U, text_slices, word_hashes, words
+from stridewell.llm.common import LOWER, NOT_SPACE, Scratch, U, low_ranks, text_slices, word_hashes, words
 
 AXES = ("source", "lang", "topic")
 #: Cells above this count are raked by distributed steps instead of in memory.
@@ -49,12 +49,8 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS, most: int = SAMPLE) -> n
     hash of id and text (a documented bound).  Groups begin as equal parts along
     the first principal direction, ties in order of the features.  Null and
     wordless texts teach nothing; without any the one centre is zero."""
-    chosen = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where("text is not null")
-        .orderBy(F.xxhash64("doc_id", "text"))
-        .limit(most)
-    )
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    chosen = low_ranks(known, F.xxhash64("doc_id", "text"), most).orderBy("rank", "doc_id").limit(most)
 
     def features(batches):
         for batch in batches:

@@ -23,6 +23,7 @@ from stridewell.llm.common import (
     NOT_SPACE,
     Scratch,
     byte_class,
+    low_ranks,
     row_key,
     text_slices,
     without,
@@ -119,12 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> np.ndarray:
     nothing, of repeated labels the larger counts, and of a repeated id all
     rows; without labels every document has the evidence one half.  Eleven
     numbers a row come to the driver."""
+    known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     chosen = (
-        labels.where("quality is not null and doc_id is not null")
-        .groupBy("doc_id")
+        low_ranks(known, F.xxhash64("doc_id"), most)
+        .groupBy("doc_id", "rank")
         .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy("rank", "doc_id")
         .limit(most)
+        .drop("rank")
     )
 
     def features(batches):
