@@ -16,10 +16,10 @@ from stridewell.llm.common import text_slices
 ROW = 64
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
-    " media_bytes long, media_sha256 string, feature string"
+    " media_bytes long, media_sha256 string, feature string, tools string"
 )
-#: Bytes of texts whose images are decoded together.
-BLOCK = 6 << 20
+#: Bytes and number of texts whose images are made and decoded together.
+BLOCK, ROWS = 6 << 20, 4096
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,24 +43,27 @@ def feature(pixels: bytes) -> str:
 
 
 def store(column: pa.Array):
-    """(unpadded size, payload size, stored image) of each text, by blocks."""
-    for _, _, data, offsets in text_slices(column, BLOCK):
-        payload, start = padded(data, offsets)
-        images = webp.encode_bytes(payload, start)
-        yield np.diff(offsets), np.diff(start), images
+    """(unpadded size, payload size, stored image, tools) of each text, by
+    blocks."""
+    for row in range(0, len(column), ROWS):
+        for _, _, data, offsets in text_slices(column.slice(row, ROWS), BLOCK):
+            payload, start = padded(data, offsets)
+            images, tools = webp.encode_bytes(payload, start)
+            yield np.diff(offsets), np.diff(start), images, tools
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: sizes and digests of the payload that was read
-    back and of the stored image, and a feature of its pixels.  Null counts as
+    back and of the stored image, a feature of its pixels, and the tools of the
+    encoder that made the smallest image.  Null counts as
     empty text, whose payload is 64 zero bytes; null ids and repeated rows
     stay; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for sizes, full, images in store(batch.column("text")):
-                for n, m, image, pixels in zip(sizes, full, images, webp.decode_bytes(images)):
+            columns: list[list] = [[] for _ in range(8)]
+            for sizes, full, images, tools in store(batch.column("text")):
+                for n, m, image, used, pixels in zip(sizes, full, images, tools, webp.decode_bytes(images)):
                     payload = pixels[:m]
                     row = (
                         int(n),
@@ -70,10 +73,11 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         len(image),
                         hashlib.sha256(image).hexdigest(),
                         feature(payload),
+                        used,
                     )
                     for c, x in zip(columns, row):
                         c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))],
                 [x.split()[0] for x in SCHEMA.split(", ")],
@@ -90,7 +94,7 @@ def to_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches):
         for batch in batches:
             sizes, images = [], []
-            for own, _, stored in store(batch.column("text")):
+            for own, _, stored, _ in store(batch.column("text")):
                 sizes += own.tolist()
                 images += stored
             yield pa.RecordBatch.from_arrays(

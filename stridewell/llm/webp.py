@@ -11,6 +11,7 @@ decoded in lock step over all images, one symbol of each a step.
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 
@@ -400,15 +401,25 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
+    """Bits, lowest first; whole bytes leave the number that still grows."""
+
     def __init__(self):
-        self.value, self.at = 0, 0
+        self.done, self.open, self.at = bytearray(), 0, 0
 
     def put(self, value: int, n: int) -> None:
-        self.value |= int(value) << self.at
+        self.open |= int(value) << (self.at - 8 * len(self.done))
         self.at += n
+        if self.at - 8 * len(self.done) >= 1024:
+            whole = self.at // 8 - len(self.done)
+            self.done += (self.open & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.open >>= 8 * whole
+
+    @property
+    def value(self) -> int:
+        return int.from_bytes(self.bytes(), "little")
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.at + 7) // 8, "little")
+        return bytes(self.done) + self.open.to_bytes((self.at + 7) // 8 - len(self.done), "little")
 
 
 def put_prefix(w: Writer, lengths) -> None:
@@ -449,6 +460,10 @@ def _split(value: int) -> tuple[int, int, int]:
     return 2 * high + ((value >> (high - 1)) & 1), value & ((1 << extra) - 1), extra
 
 
+#: Places of earlier pixels that the encoder remembers.
+WINDOW = 1 << 16
+
+
 def put_pixels(w: Writer, pixels: np.ndarray, width: int, top: bool, cache_bits=0, repeats=False):
     """One image under one group of codes."""
     items, i, values = [], 0, pixels.tolist()
@@ -476,6 +491,8 @@ def put_pixels(w: Writer, pixels: np.ndarray, width: int, top: bool, cache_bits=
             if cache:
                 cache[_cached(values[k], cache_bits)] = values[k]
             if repeats:
+                if len(last) >= WINDOW:  # bounded, however long the image is
+                    last.clear()
                 last[tuple(values[k : k + 3])] = k
         i += n
     sizes = (ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0), *ALPHABETS[1:])
@@ -671,10 +688,41 @@ def _profile_head(lengths: np.ndarray) -> tuple[int, int]:
 HEADS = [_profile_head(x) for x in PROFILES]
 
 
-def encode_bytes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of each row's symbols under a code of their own."""
+    total = counts.sum(1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1))).sum(1)
+
+
+#: Bits that code tables of an image of its own take, about.
+TABLES = 700
+
+
+def _tools(run: bytes, plain: float, values: int, own: float, steps: float) -> dict[str, dict]:
+    """The encoder's tools that an estimate finds worth trying for one run, whose
+    bits are ``plain`` as literals, ``own`` and ``steps`` under a code of its own
+    for values and for steps between neighbours: a palette for few values, the
+    predictor where steps need fewer bits than values, and repeats with or
+    without the colour cache where a dictionary coder finds them."""
+    found = {}
+    if values <= 16 and len(run) * max(1, (values - 1).bit_length()) + 300 < 0.9 * plain:
+        found["palette+repeats"] = {"palette": True, "repeats": True}
+    if steps + TABLES < 0.8 * min(plain, own + TABLES):
+        found["predictor+repeats"] = {"modes": [1], "mode_bits": 9, "repeats": True}
+    if 8 * len(zlib.compress(run, 1)) < 0.45 * plain:
+        found["repeats"] = {"repeats": True}
+        if 16 < values <= 32:
+            found["cache+repeats"] = {"cache_bits": 6, "repeats": True}
+    return found
+
+
+def encode_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[str]]:
     """Each run of bytes (a positive multiple of 64 of them) as the green
-    channel of an opaque image; rows past the end are zero.  Literals under
-    that profile's code which makes the image smallest, for all runs at once."""
+    channel of an opaque image, and the tools that made it; rows past the end
+    are zero.  Literals under that profile's code which makes the image smallest,
+    for all runs at once; where an estimate promises more, the other tools are
+    tried and the smallest image stays.  As there is one channel, the
+    cross-colour transform has nothing to save and is not tried."""
     n = len(offsets) - 1
     shapes = [shape_of(int(b - a)) for a, b in zip(offsets[:-1], offsets[1:])]
     sizes = np.array([w * h for w, h in shapes])
@@ -714,7 +762,21 @@ def encode_bytes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         head = np.frombuffer(w.bytes(), np.uint8)
         body[base[i] : base[i] + len(head)] |= head
         out.append(_wrap(body[base[i] : base[i + 1]].tobytes()))
-    return out
+    # Steps between neighbours, as the predictor of the left pixel leaves them.
+    steps = np.diff(data, prepend=data[:1] if len(data) else None).astype(np.int64)
+    steps += np.repeat(np.arange(n), np.diff(offsets)) * 256
+    steps = np.bincount(steps, minlength=n * 256).reshape(n, 256)
+    names = ["literals"] * n
+    estimates = zip((counts > 0).sum(1).tolist(), _entropy(counts).tolist(), _entropy(steps).tolist())
+    for i, ((width, height), estimate) in enumerate(zip(shapes, estimates, strict=True)):
+        run = data[offsets[i] : offsets[i + 1]]
+        for name, options in _tools(run.tobytes(), float(bits[i]), *estimate).items():
+            image = np.zeros((height, width, 4), np.uint8)
+            image[:, :, 1], image[:, :, 3] = run.reshape(height, width), 255
+            stored = encode(image, **options)
+            if len(stored) < len(out[i]):
+                out[i], names[i] = stored, name
+    return out, names
 
 
 class _Known:

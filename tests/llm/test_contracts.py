@@ -170,6 +170,40 @@ def test_media_reads_back_what_it_stored(spark, texts):
         assert r.pixels[1::4][: r.n_bytes] == t.encode() and r.error is None
 
 
+def test_a_published_image_decodes():
+    """One pixel, stored by another encoder: the lossless sample that web pages
+    test a browser's support with."""
+    import base64
+
+    image = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert image.shape == (1, 1, 4)
+
+
+def test_media_uses_the_tools_that_save(spark):
+    rng = random.Random(8)
+    rows = [
+        (0, "".join(rng.choice("ab") for _ in range(4000)), "palette+repeats"),
+        (1, " ".join(f"{a}-{a}" for a in ("lorem", "ipsum", "dolor", "quam") for _ in range(200)), "repeats"),
+        (2, "".join(chr(33 + (i * 3 + (i % 97) // 96) % 90) for i in range(6000)), None),
+        (3, "".join(chr(rng.randrange(32, 127)) for _ in range(3000)), "literals"),
+        (4, "".join(chr(32 + int(45 + 45 * np.sin(i / 25))) for i in range(40_000)), None),
+        (5, None, None),
+    ]
+    got = {r.doc_id: r for r in media.media_features(frame(spark, [r[:2] for r in rows])).collect()}
+    for d, t, tools in rows:
+        assert tools in (None, got[d].tools), got[d].tools
+        payload = (t or "").encode()
+        payload += b"\0" * (-len(payload) % 64) or (b"" if payload else b"\0" * 64)
+        assert zlib.crc32(payload[-64:]) == got[d].tail_crc32 and len(payload) == got[d].payload_bytes
+    steps = np.cumsum(np.random.default_rng(2).integers(-2, 3, 64 * 400)).astype(np.uint8)
+    images, tools = webp.encode_bytes(steps, np.array([0, len(steps)]))
+    assert tools == ["predictor+repeats"] and webp.decode_bytes(images) == [steps.tobytes()]
+    few = np.random.default_rng(3).integers(0, 28, 64 * 300).astype(np.uint8) * 9
+    few = np.tile(few[:6400], 3)
+    images, tools = webp.encode_bytes(few, np.array([0, len(few)]))
+    assert "repeats" in tools[0] and webp.decode_bytes(images) == [few.tobytes()]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(5, 5), (None, 3), (1, 2), (1, 2)]
