@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stridewell.functions.lists import columns
 from stridewell.registry import query
 from stridewell.sources.frames import CHANGES, by_frame, changes, read, whole
 
@@ -250,23 +251,11 @@ DECIDED = f"""d AS (SELECT *, {DECISION} AS decision, {REASON} AS reason FROM (S
 
 def decided(spark, sf_dir):
     """Evidence rows with decision and reason by the ladder."""
-    e = read(spark, sf_dir, "lineitem").selectExpr(*_columns(EVIDENCE)).selectExpr("*", *_columns(RULES))
+    e = read(spark, sf_dir, "lineitem").selectExpr(*columns(EVIDENCE)).selectExpr("*", *columns(RULES))
     e = e.withColumn("broken", F.expr("track < 20 or local_break"))
     return e.withColumns({"decision": F.expr(DECISION), "reason": F.expr(REASON)})
 
 
-def _columns(text: str) -> list[str]:
-    """A select list's items: commas outside brackets part them."""
-    out, depth = [""], 0
-    for mark in text:
-        depth += (mark == "(") - (mark == ")")
-        if mark == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += mark
-    return out
-
-
 @query(f"""WITH {DECIDED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, decision, reason FROM d
  WHERE decision <> 'continuity'""")
 def q13_decide_ladder(spark, sf_dir):

@@ -10,6 +10,7 @@ overrides an earlier success or interruption; otherwise the first end stays.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stridewell.functions.lists import columns
 from stridewell.registry import query
 from stridewell.sources.frames import FRAMES, by_frame, frames, read
 
@@ -34,14 +35,7 @@ STATE = """CASE WHEN lost THEN 'failed' WHEN first_end IS NOT NULL THEN first_en
 def log(f):
     """Frames as a job's events with their fields."""
     e = f.withColumn("event", F.expr(EVENT)).where(LOGGED)
-    return e.selectExpr("source_id", "frame", "pts", "k", "event", *_fields())
-
-
-def _fields() -> list[str]:
-    parts = FIELDS.replace("\n", " ").split(" AS ")
-    names = [p.split(",")[0].strip() for p in parts[1:]]
-    bodies = [parts[0]] + [p.split(",", 1)[1] for p in parts[1:-1]]
-    return [f"{b} AS {n}" for b, n in zip(bodies, names, strict=True)]
+    return e.selectExpr("source_id", "frame", "pts", "k", "event", *columns(FIELDS))
 
 
 def states(f):

@@ -54,22 +54,6 @@ def q35_counter_merge(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, attribute, a, b FROM (SELECT o_orderkey, unnest(['status', 'priority']) AS attribute,
- unnest([o_orderstatus, substr(o_orderpriority, 1, 1)]) AS a, unnest([flag, line]) AS b FROM orders JOIN
- (SELECT l_orderkey, max(l_linestatus) AS flag, CAST(max(l_linenumber) AS VARCHAR) AS line FROM lineitem GROUP BY 1)
- ON o_orderkey = l_orderkey) WHERE a IS DISTINCT FROM b""")
-def q29_property_compare(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.max("l_linestatus").alias("flag"), F.max("l_linenumber").cast("string").alias("line")
-    )
-    o = read(spark, sf_dir, "orders").join(lines, "o_orderkey")
-    both = F.expr(
-        "inline(array(struct('status' as attribute, o_orderstatus as a, flag as b),"
-        " struct('priority' as attribute, substr(o_orderpriority, 1, 1) as a, line as b)))"
-    )
-    return o.select("o_orderkey", both).where("not (a <=> b)")
-
-
 @query("""SELECT CAST(sum(n) AS BIGINT) * 3 // 2 AS budget, count(*) AS paths FROM
  (SELECT url, max(length(html)) AS n FROM pages GROUP BY url)""")
 def q45_distinct_path_budget(spark, sf_dir):
