@@ -1,6 +1,7 @@
 """All queries by name, and their statements in DuckDB SQL."""
 
 from stridewell.operators import (  # noqa: F401  (importing registers)
+    audio,
     change,
     evaluation,
     export,

@@ -120,29 +120,6 @@ def q21_sparse_scan(spark, sf_dir):
     )
 
 
-@query(f"""WITH {CHANGES}, {SEGMENTS}, o AS (SELECT source_id, min(pts) AS origin FROM f GROUP BY 1),
- x AS (SELECT source_id, number, CAST(ceil_num(start_pts - origin) AS BIGINT) AS first_sample,
- CAST(ceil_num(end_pts - origin) AS BIGINT) AS end_sample, start_pts - origin AS start
- FROM g JOIN o USING (source_id)) SELECT source_id, number, first_sample, end_sample,
- first_sample * 1000000 - start * 48000 AS delay_num FROM x WHERE end_sample > first_sample""".replace(
-    "ceil_num(start_pts - origin)", "((start_pts - origin) * 48 + 999) // 1000"
-).replace("ceil_num(end_pts - origin)", "((end_pts - origin) * 48 + 999) // 1000"))
-def q27_audio_slice_bounds(spark, sf_dir):
-    """Samples of a 48 kHz clock inside each segment, rounded up exactly."""
-    g = segments(changes(spark, sf_dir))
-    origin = F.min("start_pts").over(Window.partitionBy("source_id"))
-    x = g.withColumn("a", F.col("start_pts") - origin).withColumn("b", F.col("end_pts") - origin)
-    return x.selectExpr(
-        "source_id",
-        "number",
-        rational.ceil_div("a * 48", "1000") + " as first_sample",
-        rational.ceil_div("b * 48", "1000") + " as end_sample",
-        "a",
-    ).where("end_sample > first_sample").selectExpr(
-        "source_id", "number", "first_sample", "end_sample", "first_sample * 1000000 - a * 48000 as delay_num"
-    )
-
-
 @query(f"""WITH {CHANGES}, {SEGMENTS} SELECT source_id, sha256('[' || string_agg('[' || start_frame
  || ',' || end_frame || ']', ',' ORDER BY number) || ']') AS digest FROM g GROUP BY source_id""")
 def q32_canonical_digest(spark, sf_dir):
