@@ -3,6 +3,7 @@
 from stridewell.operators import (  # noqa: F401  (importing registers)
     audio,
     change,
+    documents,
     evaluation,
     export,
     integrity,
