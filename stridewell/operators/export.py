@@ -309,3 +309,65 @@ def q77_intended_range(spark, sf_dir):
         "concat('scene-', lpad(cast(number as string), 4, '0'), '.mkv') as output_file",
         "concat('thumbnails/frame-', lpad(cast(start_frame as string), 9, '0'), '.jpg') as thumbnail",
     )
+
+
+#: What each way of export gives for a segment; a way counts if all its checks hold.
+WAYS = """CASE WHEN number % 3 = 0 THEN true ELSE false END AS aligned, number = 1 AND end_frame = n AS whole, (source_id + number) % 4 <> 1
+ AS copy_equal, (source_id + 2 * number) % 5 <> 2 AS seek_equal, (source_id * 3 + number) % 11 <> 3 AS full_equal"""
+WAY = """CASE WHEN whole THEN 'whole copy' WHEN aligned AND copy_equal THEN 'stream copy' WHEN seek_equal THEN 'seek and encode'
+ WHEN full_equal THEN 'full encode' END"""
+TRIED = """CASE WHEN whole THEN 1 ELSE (CASE WHEN aligned THEN 1 ELSE 0 END) + CASE WHEN aligned AND copy_equal THEN 0 WHEN seek_equal THEN 1 ELSE 2 END END"""
+
+
+@query(f"""WITH {CHANGES}, {SEGMENTS}, w AS (SELECT source_id, number, {WAYS} FROM g JOIN (SELECT source_id, count(*) AS n FROM f GROUP BY source_id)
+ AS t USING (source_id)) SELECT source_id, number, {WAY} AS method, {TRIED} AS attempts, ({WAY}) IS NULL AS failed FROM w""")
+def q110_export_method(spark, sf_dir):
+    """Ways of export from the cheapest on, each verified before it is
+    published: the first that holds, and how many were tried."""
+    w = Window.partitionBy("source_id")
+    g = segments(changes(spark, sf_dir)).withColumn("n", F.sum("frame_count").over(w)).selectExpr("source_id", "number", *columns(WAYS))
+    return g.selectExpr("source_id", "number", f"{WAY} as method", f"{TRIED} as attempts", f"({WAY}) is null as failed")
+
+
+#: Reference frames decoded anew, and the quality measured, of compact outputs.
+COMPACT = """source_id, number, count(*) AS frames, count(*) FILTER (WHERE source_id % 5 = 1 AND k % 45 = 9) AS other_hashes,
+ count(*) FILTER (WHERE source_id % 5 = 2 AND k % 45 = 8) AS other_times, min(900 + k) AS least_ssim, count(*) FILTER (WHERE source_id % 5 = 3
+ AND k % 45 = 7) AS unmeasured"""
+CERTIFIED = """CASE WHEN other_times > 0 THEN 'times' WHEN other_hashes > 0 THEN 'reference' WHEN unmeasured > 0 THEN 'quality count'
+ WHEN least_ssim < 902 THEN 'quality' ELSE 'verified' END"""
+
+
+@query(f"""WITH {CHANGES}, {SEGMENTS}, c AS (SELECT {COMPACT} FROM s GROUP BY source_id, number) SELECT source_id, number, frames, least_ssim,
+ {CERTIFIED} AS verdict FROM c""")
+def q111_compact_verification(spark, sf_dir):
+    """Compact outputs: exact times, digests of a reference encoded anew, and a
+    quality for each frame that is high enough."""
+    s = numbered(changes(spark, sf_dir))
+    c = s.groupBy("source_id", "number").agg(
+        F.count("*").alias("frames"),
+        F.count_if(F.expr("source_id % 5 = 1 and k % 45 = 9")).alias("other_hashes"),
+        F.count_if(F.expr("source_id % 5 = 2 and k % 45 = 8")).alias("other_times"),
+        (F.min("k") + 900).alias("least_ssim"),
+        F.count_if(F.expr("source_id % 5 = 3 and k % 45 = 7")).alias("unmeasured"),
+    )
+    return c.selectExpr("source_id", "number", "frames", "least_ssim", f"{CERTIFIED} as verdict")
+
+
+FLAGS = ("default", "dub", "forced", "original")
+
+
+@query(f"""WITH {SOURCES}, d AS (SELECT id, CASE WHEN id % 4 = 1 THEN NULL ELSE 'l' || (id % 3) END AS language, CASE WHEN id % 5 = 2 THEN
+ 'commentary' END AS title, list_filter([{", ".join(f"'{x}'" for x in FLAGS)}], lambda x: (id * length(x)) % 3 = 1) AS flags, 44100 + id % 2 * 3900 AS rate,
+ layout FROM so) SELECT id, sha256(coalesce(language, '') || '/' || coalesce(title, '') || '/' || array_to_string(list_sort(flags), ',') || '/' || rate ||
+ '/' || layout) AS identity, array_to_string(list_sort(flags), ',') AS dispositions FROM d""")
+def q112_audio_identity(spark, sf_dir):
+    """What makes two sound tracks the same: language, title and the sorted
+    names of the flags that are set, with rate and layout."""
+    entries = ", ".join(f"'{x}', cast((id * length('{x}')) % 3 = 1 as boolean)" for x in FLAGS)
+    d = sources(spark, sf_dir).selectExpr(
+        "id", "if(id % 4 = 1, null, concat('l', id % 3)) as language", "if(id % 5 = 2, 'commentary', null) as title",
+        f"array_join(array_sort(map_keys(map_filter(map({entries}), (k, v) -> v))), ',') as dispositions",
+        "44100 + id % 2 * 3900 as rate", "layout",
+    )
+    said = "concat(coalesce(language, ''), '/', coalesce(title, ''), '/', dispositions, '/', rate, '/', layout)"
+    return d.selectExpr("id", f"sha2({said}, 256) as identity", "dispositions")

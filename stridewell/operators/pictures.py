@@ -170,3 +170,27 @@ def q12_flash_return(spark, sf_dir):
     return d.where(f"mad > {CHANGED}").selectExpr(
         "source_id", "frame", "mad", f"{near.format('across')} as returns_after", f"{near.format('back')} as returned"
     ).where("returns_after or returned")
+
+
+@query(f"""WITH {PIXEL_ROWS}, ce AS (SELECT source_id, frame, i // 7 AS band, sum(y) AS t FROM p GROUP BY source_id, frame, i // 7),
+ ed AS (SELECT a.source_id, a.frame, count(*) FILTER (abs(a.y - b.y) > 50) AS edges FROM p AS a JOIN p AS b ON b.source_id = a.source_id
+ AND b.frame = a.frame AND b.i = a.i + 1 GROUP BY a.source_id, a.frame) SELECT ce.source_id, ce.frame,
+ string_agg(CAST((2 * t + 7) // 14 AS VARCHAR), ',' ORDER BY band) AS reduced, any_value(edges) AS edges FROM ce JOIN ed
+ ON ed.source_id = ce.source_id AND ed.frame = ce.frame GROUP BY ce.source_id, ce.frame""")
+def q113_reduced_pictures(spark, sf_dir):
+    """Grey pictures reduced by averaging areas of seven pixels, halves rounded
+    up, and the number of steep steps between neighbours."""
+    c = converted(images(spark, sf_dir))
+    bands = f"transform(sequence(0, 2), j -> (2 * {total('slice(y, 7 * j + 1, 7)')} + 7) div 14)"
+    return c.selectExpr(
+        "source_id", "frame", f"array_join(transform({bands}, x -> cast(x as string)), ',') as reduced",
+        f"cast(size(filter(sequence(1, {PIXELS - 1}), i -> abs(y[i] - y[i - 1]) > 50)) as bigint) as edges",
+    )
+
+
+@query(f"""WITH {METRICS} SELECT source_id, frame, round(sqrt(greatest(0, 2 * structural_change)), 5)::DOUBLE AS warp_residual FROM mt WHERE frame > 0""")
+def q114_warp_residual(spark, sf_dir):
+    """What is left after the best alignment, from the correlation; pictures are
+    taken as aligned already, as no tracker runs here."""
+    m = metrics(spark, sf_dir).where("frame > 0")
+    return m.selectExpr("source_id", "frame", "round(sqrt(greatest(0.0D, 2 * structural_change)), 5) as warp_residual")

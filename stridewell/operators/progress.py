@@ -318,3 +318,24 @@ def q67_directory_bytes(spark, sf_dir):
 
 #: Files whose running total one task takes.
 CHUNK = 4096
+
+
+WIDTH = 44
+
+
+@query(f"""WITH {STATES}, l AS (SELECT source_id, lpad(CAST(n_events * 7 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_events * 7 % 60 AS VARCHAR), 2, '0')
+ AS elapsed, state, n_events || ' events' AS a, recovered || ' recovered' AS b FROM st) SELECT source_id, CASE WHEN length(elapsed || ' ' || state || ' · ' ||
+ a || ' · ' || b) <= {WIDTH} THEN elapsed || ' ' || state || ' · ' || a || ' · ' || b WHEN length(elapsed || ' ' || state || ' · ' || a) <= {WIDTH} THEN
+ elapsed || ' ' || state || ' · ' || a ELSE elapsed || ' ' || state END AS line FROM l""")
+def q115_status_lines(spark, sf_dir):
+    """A job's line for a terminal: time, state, and what else fits."""
+    long = "concat(elapsed, ' ', state, ' · ', a, ' · ', b)"
+    mid = "concat(elapsed, ' ', state, ' · ', a)"
+    return states(frames(spark, sf_dir)).selectExpr(
+        "source_id", "state",
+        "concat(lpad(cast(n_events * 7 div 60 as string), 2, '0'), ':', lpad(cast(n_events * 7 % 60 as string), 2, '0')) as elapsed",
+        "concat(n_events, ' events') as a", "concat(recovered, ' recovered') as b",
+    ).selectExpr(
+        "source_id",
+        f"case when length({long}) <= {WIDTH} then {long} when length({mid}) <= {WIDTH} then {mid} else concat(elapsed, ' ', state) end as line",
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stridewell.functions import rational
+from stridewell.functions.lists import columns
 from stridewell.registry import query
 from stridewell.sources.frames import FRAMES, by_frame, frames, turns, whole
 
@@ -103,17 +104,82 @@ def q49_lcm_timescale(spark, sf_dir):
     ).where("timescale <= 2147483647")
 
 
-@query("""SELECT conv_id AS source_id, min(CASE WHEN role <> first THEN turn END) AS first_other,
- count(DISTINCT role) = 1 AS constant FROM (SELECT *, first_value(role) OVER
- (PARTITION BY conv_id ORDER BY turn) AS first FROM conversations) GROUP BY conv_id""")
+#: Native properties of each frame, with changes, interlacing and late markers.
+NATIVE = """source_id, frame, CASE WHEN source_id % 6 = 1 AND frame > 30 THEN 1280 ELSE 1920 END AS width, 1080 AS height,
+ CASE WHEN source_id % 6 = 2 AND k = 7 THEN 'yuv422p' ELSE 'yuv420p' END AS pix_fmt, source_id % 6 = 3 AND k = 11 AS interlaced,
+ CASE WHEN source_id % 5 = 0 THEN NULL ELSE 'tv' END AS color_range, 'bt709' AS color_space, 'bt709' AS color_primaries,
+ CASE WHEN source_id % 6 = 4 AND frame = 20 THEN 'smpte2084' ELSE 'bt709' END AS color_transfer, CASE WHEN source_id % 12 = 5 AND k = 13
+ THEN 'Dynamic HDR' ELSE '' END AS side"""
+PROPERTIES = "width, height, pix_fmt, color_range, color_space, color_primaries, color_transfer"
+HEADER = "CASE WHEN source_id % 12 = 6 THEN 1279 ELSE 1920 END"
+
+
+@query(f"""WITH {FRAMES}, na AS (SELECT {NATIVE} FROM f), st AS (SELECT *, concat_ws('|', {", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in PROPERTIES.split(", "))})
+ AS said, color_transfer IN ('smpte2084', 'arib-std-b67') OR lower(side) LIKE '%hdr%' AS hdr FROM na),
+ fi AS (SELECT *, first_value(said) OVER (PARTITION BY source_id ORDER BY frame) AS first FROM st), g AS (SELECT source_id, count(*) AS audited,
+ min(frame) FILTER (hdr) AS first_hdr, min(frame) FILTER (interlaced) AS first_interlaced, min(frame) FILTER (said <> first) AS first_other,
+ arg_min(width, frame) AS width, any_value(first) AS first FROM fi GROUP BY source_id) SELECT source_id, audited, first_hdr, first_interlaced,
+ first_other, first_hdr IS NULL AND first_interlaced IS NULL AND first_other IS NULL AS constant, width = {HEADER} AS header_agrees, first
+ AS properties FROM g""")
 def q28_property_constancy(spark, sf_dir):
-    t = turns(spark, sf_dir).withColumn("first", F.first("role").over(by_frame()))
-    return t.groupBy("source_id").agg(
-        F.min(F.when(F.col("role") != F.col("first"), F.col("frame"))).alias("first_other"),
-        (F.count_distinct("role") == 1).alias("constant"),
+    """Every frame's native properties against the first one's: the first frame
+    that is of high dynamic range, interlaced or otherwise different, and
+    whether the header says the same."""
+    n = frames(spark, sf_dir).selectExpr(*columns(NATIVE))
+    said = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in PROPERTIES.split(", ")))
+    hdr = F.expr("color_transfer in ('smpte2084', 'arib-std-b67') or lower(side) like '%hdr%'")
+    n = n.select("*", said.alias("said"), hdr.alias("hdr")).withColumn("first", F.first("said").over(by_frame()))
+    at = lambda c: F.min(F.when(F.expr(c), F.col("frame")))
+    g = n.groupBy("source_id").agg(
+        F.count("*").alias("audited"),
+        at("hdr").alias("first_hdr"),
+        at("interlaced").alias("first_interlaced"),
+        at("said <> first").alias("first_other"),
+        F.min_by("width", "frame").alias("width"),
+        F.min_by("said", "frame").alias("properties"),
+    )
+    return g.selectExpr(
+        "source_id", "audited", "first_hdr", "first_interlaced", "first_other",
+        "first_hdr is null and first_interlaced is null and first_other is null as constant",
+        f"width = {HEADER} as header_agrees", "properties",
     )
 
 
+#: The metadata side of a scan, beside the pictures, with faults in some sources.
+SIDE = """source_id, frame AS n, pts, CASE WHEN source_id % 7 = 1 AND frame = 9 THEN frame + 1 ELSE frame END AS told,
+ CASE WHEN source_id % 7 = 2 AND frame > 12 THEN '1/90000' ELSE '1/1000000' END AS tb"""
+SCANNED = """CASE WHEN n IS NULL THEN 'no metadata' WHEN bytes IS NULL THEN 'no picture' WHEN told <> n THEN 'ordinal' WHEN tb <> '1/1000000'
+ THEN 'time base' WHEN bytes <> 300 THEN 'truncated' END"""
+
+
+@query(f"""WITH {FRAMES}, si AS (SELECT {SIDE} FROM f WHERE NOT (source_id % 7 = 3 AND frame = 5)), pi AS (SELECT source_id, frame,
+ CASE WHEN source_id % 7 = 4 AND frame = 8 THEN 299 ELSE 300 END AS bytes FROM f WHERE NOT (source_id % 7 = 5 AND frame = 6)),
+ j AS (SELECT coalesce(pi.source_id, si.source_id) AS source_id, coalesce(pi.frame, si.n) AS frame, n, told, tb, bytes FROM pi FULL JOIN si
+ ON si.source_id = pi.source_id AND si.n = pi.frame), e AS (SELECT *, {SCANNED} AS error FROM j) SELECT source_id, count(n) AS metadata,
+ count(bytes) AS pictures, min(frame) FILTER (error IS NOT NULL) AS first_error, arg_min(error, frame) FILTER (error IS NOT NULL) AS error
+ FROM e GROUP BY source_id""")
+def q108_full_scan(spark, sf_dir):
+    """Pictures and their metadata joined by place, none lost on either side:
+    how many of each, and the first fault."""
+    f = frames(spark, sf_dir)
+    side = f.where("not (source_id % 7 = 3 and frame = 5)").selectExpr(*columns(SIDE)).withColumn("frame", F.col("n"))
+    pictures = f.where("not (source_id % 7 = 5 and frame = 6)").selectExpr(
+        "source_id", "frame", "if(source_id % 7 = 4 and frame = 8, 299, 300) as bytes"
+    )
+    j = pictures.join(side, ["source_id", "frame"], "full").withColumn("error", F.expr(SCANNED))
+    fault = F.when(F.col("error").isNotNull(), F.col("frame"))
+    return j.groupBy("source_id").agg(
+        F.count("n").alias("metadata"), F.count("bytes").alias("pictures"),
+        F.min(fault).alias("first_error"), F.min_by("error", fault).alias("error"),
+    )
+
+
+@query(f"""WITH {FRAMES} SELECT source_id, frame, pts FROM f WHERE frame >= 10 AND frame < 14""")
+def q109_frame_range(spark, sf_dir):
+    """A half-open range of frames."""
+    return frames(spark, sf_dir).where("frame >= 10 and frame < 14").select("source_id", "frame", "pts")
+
+
 @query("""SELECT conv_id AS source_id, sha256(string_agg(sha256(text), '' ORDER BY turn)) AS digest
  FROM conversations GROUP BY conv_id""")
 def q31_ordered_digest(spark, sf_dir):
