@@ -121,9 +121,10 @@ CANDIDATE = f"""frame > 0 AND (mad >= {MIN_CHANGE} OR kd >= {PEAK})
  AND (4 * mad >= {RATIO} * r4 OR 4 * kd >= {BLOCK_RATIO} * b4 OR hd >= {HISTOGRAM})"""
 
 
-def candidates(m):
-    r = update_ratio(m, "mad", F.col("mad") > ACTIVE, "r4")
-    return update_ratio(r, "kd", F.expr(BLOCK_ACTIVE), "b4", floor=1).where(CANDIDATE)
+def candidates(m, context: int = CONTEXT, min_change: int = MIN_CHANGE):
+    r = update_ratio(m, "mad", F.col("mad") > ACTIVE, "r4", context)
+    r = update_ratio(r, "kd", F.expr(BLOCK_ACTIVE), "b4", context, floor=1)
+    return r.where(CANDIDATE.replace(str(MIN_CHANGE), str(min_change)))
 
 
 CANDIDATES_SQL = f"""{RATIO_SQL}, {BLOCK_SQL}, c AS (SELECT * FROM (SELECT m.*, r.base4 AS r4,

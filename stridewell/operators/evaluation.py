@@ -35,11 +35,11 @@ def span(m):
     return m.groupBy("source_id").agg(F.min("pts").alias("first_pts"), F.max("own").alias("max_end"))
 
 
-def rated(counts: DataFrame, m: DataFrame) -> DataFrame:
+def rated(told: DataFrame, m: DataFrame) -> DataFrame:
     """tp, fp, fn with precision, recall, F1 (null without denominator) and
     rates an hour."""
-    return counts.join(span(m), "source_id").selectExpr(
-        *counts.columns,
+    return told.join(span(m), "source_id").selectExpr(
+        *told.columns,
         "round(try_divide(tp, tp + fp), 6) as precision",
         "round(try_divide(tp, tp + fn), 6) as recall",
         "round(try_divide(2 * tp, 2 * tp + fp + fn), 6) as f1",
@@ -66,16 +66,7 @@ def q22_exact_match_eval(spark, sf_dir):
     """Multiset intersection and differences of boundaries, counted without
     expanding them: of a frame's counts the smaller is matched."""
     m = changes(spark, sf_dir)
-    p, r = boundaries(m)
-    p = p.groupBy("source_id", "frame").agg(F.count("*").alias("np"))
-    r = r.groupBy("source_id", "frame").agg(F.count("*").alias("nr"))
-    n = p.join(r, ["source_id", "frame"], "full").na.fill(0, ["np", "nr"])
-    counts = n.groupBy("source_id").agg(
-        F.sum(F.least("np", "nr")).alias("tp"),
-        F.sum(F.greatest(F.lit(0), F.col("np") - F.col("nr"))).alias("fp"),
-        F.sum(F.greatest(F.lit(0), F.col("nr") - F.col("np"))).alias("fn"),
-    )
-    return rated(counts, m)
+    return rated(counts(*boundaries(m), 0), m)
 
 
 def islands(predicted: DataFrame, reference: DataFrame, tolerance: int) -> DataFrame:
@@ -165,14 +156,29 @@ def q23_tolerant_match_eval(spark, sf_dir):
     m = changes(spark, sf_dir)
     p, r = boundaries(m)
     r = r.selectExpr("source_id", f"{MOVED} as frame")
+    return rated(counts(p, r, TOLERANCE), m)
+
+
+def counts(p: DataFrame, r: DataFrame, tolerance: int) -> DataFrame:
+    """(source_id, tp, fp, fn) of boundaries (source_id, frame), and the total
+    distance of the matches where there is a tolerance."""
+    if tolerance == 0:
+        p = p.groupBy("source_id", "frame").agg(F.count("*").alias("np"))
+        r = r.groupBy("source_id", "frame").agg(F.count("*").alias("nr"))
+        n = p.join(r, ["source_id", "frame"], "full").na.fill(0, ["np", "nr"])
+        return n.groupBy("source_id").agg(
+            F.sum(F.least("np", "nr")).alias("tp"),
+            F.sum(F.greatest(F.lit(0), F.col("np") - F.col("nr"))).alias("fp"),
+            F.sum(F.greatest(F.lit(0), F.col("nr") - F.col("np"))).alias("fn"),
+        )
     worth = (
         "element_at(aggregate(p, array_repeat(0L, size(r) + 1), (row, a) -> aggregate(sequence(1, size(r)),"
         " array(0L), (done, j) -> array_append(done, greatest(element_at(done, -1), row[j],"
-        f" if(abs(a - r[j - 1]) <= {TOLERANCE}, row[j - 1] + {WORTH} - abs(a - r[j - 1]), 0L))))), -1)"
+        f" if(abs(a - r[j - 1]) <= {tolerance}, row[j - 1] + {WORTH} - abs(a - r[j - 1]), 0L))))), -1)"
     )
     some = f"if(size(p) = 0 or size(r) = 0, 0L, {worth})"
-    counts = (
-        islands(p, r, TOLERANCE)
+    return (
+        islands(p, r, tolerance)
         .selectExpr("source_id", "size(p) as np", "size(r) as nr", f"{some} as worth")
         .withColumn("tp", F.expr(f"(worth + {WORTH - 1}) div {WORTH}"))
         .groupBy("source_id")
@@ -183,7 +189,6 @@ def q23_tolerant_match_eval(spark, sf_dir):
             F.sum(F.col("tp") * WORTH - F.col("worth")).alias("distance"),
         )
     )
-    return rated(counts, m)
 
 
 LABELS = """lb AS (SELECT sha256(text) AS digest, max(quality) AS quality, count(*) AS n_labels FROM documents

@@ -11,19 +11,19 @@ from stridewell.sources.frames import by_frame, CHANGES, FRAMES, changes, frames
 CUT = f"frame > 0 and mad >= {PIXEL}"
 
 
-def numbered(m):
+def numbered(m, cut: str = CUT):
     """Adds ``number``, the 1-based segment of each frame, as a running count
     of cuts; no range join."""
-    return m.withColumn("number", F.sum(F.expr(f"if({CUT}, 1, 0)")).over(by_frame()) + 1)
+    return m.withColumn("number", F.sum(F.expr(f"if({cut}, 1, 0)")).over(by_frame()) + 1)
 
 
 NUMBERED = f"""s AS (SELECT *, CAST(1 + sum(CASE WHEN {CUT} THEN 1 ELSE 0 END) OVER
  (PARTITION BY source_id ORDER BY frame) AS BIGINT) AS number FROM m)"""
 
 
-def segments(m):
+def segments(m, cut: str = CUT):
     """One row per segment: number, frames [start_frame, end_frame), pts."""
-    s = numbered(m).groupBy("source_id", "number").agg(
+    s = numbered(m, cut).groupBy("source_id", "number").agg(
         F.min("frame").alias("start_frame"),
         (F.max("frame") + 1).alias("end_frame"),
         F.count("*").alias("frame_count"),
