@@ -88,10 +88,18 @@ def without(docs: DataFrame, bad: DataFrame, key: Column, id_col: str = "doc_id"
     """``docs`` less the rows whose id (null-safe) and ``key`` are among the
     (doc_id, key) of ``bad``."""
     gone = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).distinct()
-    same = (key == F.col("_gone")) & docs[id_col].cast("long").eqNullSafe(F.col("_id"))
+    same = (key == gone["_gone"]) & docs[id_col].cast("long").eqNullSafe(gone["_id"])
     return docs.join(gone, same, "left_anti")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --------------------------------------------------------------------------
 # Arrow text columns as byte arrays
 

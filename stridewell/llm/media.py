@@ -109,7 +109,8 @@ def to_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def pixel_arrays(media: DataFrame) -> DataFrame:
     """Decode a ``media`` column of any lossless WebP images: adds height,
-    width, pixels (red, green, blue, alpha of each, row order) and error.  Null
+    width, pixels (red, green, blue, alpha of each, row order) and error;
+    columns of these four names are replaced.  Null
     or broken images have null pixels and say why."""
 
     def run(batches):

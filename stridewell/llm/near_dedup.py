@@ -28,6 +28,7 @@ from stridewell.llm.common import (
     NOT_SPACE,
     Scratch,
     U,
+    fresh,
     gram_hashes,
     mix,
     partitions_for,
@@ -491,11 +492,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     key = row_key(F.col(id_col), F.col(options.get("text_col", "text")))
     gone = _components(docs, **options).where(~F.col("stands")).withColumnRenamed("node", "key")
-    order = Window.partitionBy(id_col, "_key").orderBy(F.xxhash64(*docs.columns))
+    same, n = fresh(docs, "_key"), fresh(docs, "_n")
+    # Null ids are kept each, so they are dealt by their text, not as one group.
+    order = Window.partitionBy(id_col, same).orderBy(F.xxhash64(*docs.columns))
     return (
         without(docs, gone, key, id_col)
-        .withColumn("_key", key)
-        .withColumn("_n", F.row_number().over(order))
-        .where((F.col("_n") == 1) | F.col(id_col).isNull())
-        .drop("_n", "_key")
+        .withColumn(same, key)
+        .withColumn(n, F.row_number().over(order))
+        .where((F.col(n) == 1) | F.col(id_col).isNull())
+        .drop(n, same)
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewell.llm.common import Scratch
+from stridewell.llm.common import Scratch, fresh
 
 
 @dataclass(frozen=True)
@@ -168,20 +168,19 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     Overlapping spans become one mark.  Columns and rows stay; null texts stay
     null."""
     found = BlobLedger(docs.sparkSession, path).scan(docs)
-    hits = found.where("size(spans) > 0").select("blob", "spans").dropDuplicates(["blob"])
+    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    hits = found.where("size(spans) > 0").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     cut = (
-        "aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct("
+        f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> named_struct("
         "'at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out,"
         " substring(text, a.at + 1, s.start - a.at), '[SECRET]'))),"
         " a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    out = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(
-        hits.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left"
-    )
-    out = out.withColumn("text", F.expr(f"if(_spans is null, text, {cut})"))
+    out = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits.dropDuplicates([blob]), blob, "left")
+    out = out.withColumn("text", F.expr(f"if({spans} is null, text, {cut})"))
     if "n_chars" in docs.columns:
         out = out.withColumn(
             "n_chars",
-            F.expr("if(_spans is null, n_chars, length(text))").cast(docs.schema["n_chars"].dataType),
+            F.expr(f"if({spans} is null, n_chars, length(text))").cast(docs.schema["n_chars"].dataType),
         )
     return out.select(*docs.columns)
