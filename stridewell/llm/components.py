@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from stridewell.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node is a hub if it has more than this part of all ends (so there are fewer
+#: hubs than this), and no fewer than so many.
+HUBS, LEAST_HUB = 256, 2000
+
+
+def _large_star(edges: DataFrame, ends: int) -> DataFrame:
+    """``ends``: twice the number of edges.  Hubs meet their edges by a
+    broadcast of fewer than HUBS rows, so that no task gets a hub's edges."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.join(low, "u")
-        .where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .where("u <> v")
-    )
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    low = low.select("u", F.least("u", "m").alias("m"), "n")
+    up = both.where(F.col("v") > F.col("u"))
+    many = max(LEAST_HUB, ends // HUBS)
+    if ends <= many:
+        met = up.join(low, "u")
+    else:
+        hubs = F.broadcast(low.where(F.col("n") > many).select("u", F.col("m").alias("hub")))
+        named = up.join(hubs, "u", "left")
+        rest = named.where("hub is null").select("u", "v").join(low.where(F.col("n") <= many), "u")
+        met = rest.select("u", "v", "m").union(named.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -43,7 +55,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
     ignored; no edges give no rows.
 
     A step is two aggregations (combined before the shuffle, so a hub costs a
-    row per task) and two equi-joins that adaptive execution may split.  Each
+    row per task) and two equi-joins, from which hubs are left out.  Each
     round is written to the shared folder.  It ends when what is left is stars:
     every larger end once, and none that is a smaller end too.  As u > v, the
     centre is then the smallest of its component.  Repeated edges are no stars;
@@ -61,7 +73,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
                 now.select(F.col("v"), F.col("v")).distinct()
             )
-        now = scratch.table(_small_star(_large_star(now)), f"{name}-{k}")
+        now = scratch.table(_small_star(_large_star(now, 2 * now.count())), f"{name}-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")
     raise RuntimeError(f"components did not settle in {most} rounds")

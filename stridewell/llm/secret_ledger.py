@@ -144,7 +144,10 @@ class BlobLedger:
             fresh.select("blob", "spans", F.lit(version).alias("rule_version")).write.mode(
                 "append"
             ).parquet(self.path)
-        known = self.entries().where(F.col("rule_version") == version).dropDuplicates(["blob"])
+        known = self.entries().where(F.col("rule_version") == version).select("blob", "spans")
+        # Only where two scans have met; a plain join may split a blob of many paths.
+        if not known.groupBy("blob").count().where("count > 1").isEmpty():
+            known = known.dropDuplicates(["blob"])
         return paths.select("id", "blob").join(known.select("blob", "spans"), "blob").select(
             F.col("id").alias(id_col), "blob", "spans"
         )

@@ -89,3 +89,34 @@ def test_one_large_group_of_edited_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
     got = near_dedup.near_duplicates(table(spark, [(d, t, "a") for d, t in rows]), shingle=3, percent=85, bands=24)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.near(rows), key=str)
+
+
+def test_hubs_and_chains(spark, monkeypatch):
+    """Components with hubs that are met by a broadcast, and long chains."""
+    from stridewell.llm import components
+    from stridewell.llm.common import Scratch
+
+    monkeypatch.setattr(components, "LEAST_HUB", 5)
+    rng = random.Random(6)
+    edges = [(1000, 1000 + i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 1000 + i) for i in range(0, 300, 7)]
+    edges += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    near = {x: {x} for e in edges for x in e}
+    for a, b in edges:
+        whole = near[a] | near[b]
+        for x in whole:
+            near[x] = whole
+    got = components.components(Scratch(spark, "hubs"), spark.createDataFrame(edges, "u long, v long"), "c").collect()
+    lone = {a for a, b in edges if a == b and near[a] == {a}}
+    assert {tuple(r) for r in got} == {(x, min(s)) for x, s in near.items() if x not in lone}
+
+
+def test_a_blob_that_two_scans_appended(spark, tmp_path):
+    from stridewell.llm import secret_ledger
+
+    ledger = secret_ledger.BlobLedger(spark, str(tmp_path / "ledger"))
+    docs = table(spark, [(1, 'token = "abcdefghij"', "a"), (2, "plain", "a")])
+    ledger.scan(docs).count()
+    ledger.entries().coalesce(1).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(str(tmp_path / "twice")).write.mode("append").parquet(ledger.path)
+    assert ledger.entries().count() == 4
+    assert sorted((r.doc_id, len(r.spans)) for r in ledger.scan(docs).collect()) == [(1, 1), (2, 0)]
