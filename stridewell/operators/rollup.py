@@ -224,7 +224,7 @@ def q86_assembly_coverage(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, greatest(1, (num * 1000000 + den - 1) // den) AS micros, abs(num * 3 - den) * 90000
- <= greatest(90000 // den, 3) AS within_tick, printf('%.6f', CAST(num AS DOUBLE) / den) AS decimal_text FROM (SELECT l_orderkey,
+ <= greatest(90000 // den, 3) AS within_tick, printf('%.12f', CAST(num AS DOUBLE) / den) AS decimal_text FROM (SELECT l_orderkey,
  l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) - 1 AS num, CAST(l_suppkey * 3 + 1 AS BIGINT) AS den FROM lineitem)""")
 def q87_exact_arithmetic(spark, sf_dir):
     """Microseconds rounded up and at least one, closeness within a tick by
@@ -237,5 +237,5 @@ def q87_exact_arithmetic(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey",
         f"greatest(1, {rational.ceil_div('num * 1000000', 'den')}) as micros",
         "abs(num * 3 - den) * 90000 <= greatest(90000 div den, 3) as within_tick",
-        "format_string('%.6f', cast(num as double) / den) as decimal_text",
+        "format_string('%.12f', cast(num as double) / den) as decimal_text",
     )
