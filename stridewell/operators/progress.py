@@ -144,8 +144,7 @@ def q61_repeated_ends(spark, sf_dir):
 @query(f"""WITH {STATES} SELECT source_id, state = 'succeeded' AS ok, CASE state WHEN 'succeeded' THEN NULL
  WHEN 'interrupted' THEN 'Interrupted' WHEN 'failed' THEN 'Failed' ELSE 'WorkerLost' END AS error_type,
  'job-' || lpad(CAST(source_id AS VARCHAR), 6, '0') AS output,
- CASE WHEN state = 'succeeded' THEN NULL ELSE 'job ' || source_id || ' is ' || state END AS error,
- row_number() OVER (ORDER BY 'job-' || lpad(CAST(source_id AS VARCHAR), 6, '0')) AS place FROM st""")
+ CASE WHEN state = 'succeeded' THEN NULL ELSE 'job ' || source_id || ' is ' || state END AS error FROM st""")
 def q62_batch_outcomes(spark, sf_dir):
     """A row for each job in order of its name, failures as rows of their own
     kind; the batch's list of files."""
@@ -157,8 +156,7 @@ def q62_batch_outcomes(spark, sf_dir):
         "concat('job-', lpad(cast(source_id as string), 6, '0')) as output",
         "if(state = 'succeeded', null, concat('job ', source_id, ' is ', state)) as error",
     )
-    # One row a job: a batch's summary, of which the report needs the order.
-    return s.withColumn("place", F.row_number().over(Window.orderBy("output")).cast("long"))
+    return s.orderBy("output")
 
 
 @query(f"""WITH {FRAMES}, s AS (SELECT source_id, frame FROM f WHERE k % 10 <> 0) SELECT source_id, before, frame FROM

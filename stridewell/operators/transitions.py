@@ -101,6 +101,7 @@ def classified(spark, sf_dir):
 
 @query(f"WITH {EXTREMES} SELECT * FROM tr")
 def q25_transition_class(spark, sf_dir):
+    """Class and reason of each scene by the ladder, with its evidence."""
     return classified(spark, sf_dir)
 
 
