@@ -12,6 +12,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_both_paths_end_at_the_same_answer(spark, monkeypatch, recwarn):
+    # Fewer cells, fewer rounds.
+    monkeypatch.setattr(mixing.learn_topics, "__defaults__", (3, mixing.SAMPLE))
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "lang", "length(source) as source")
     small = {r.doc_id: r for r in mixing.calibrated(docs).collect()}
     monkeypatch.setattr(mixing, "CELLS_IN_MEMORY", 0)
