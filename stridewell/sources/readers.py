@@ -12,15 +12,34 @@ VIDEO = ("mp4", "m4v", "mov", "mkv", "webm", "avi", "mts", "m2ts", "ts", "mpeg",
 
 
 def discover(spark: SparkSession, inputs: list[str], output: str, recursive: bool = False) -> DataFrame:
-    """(path, length) of the videos in folders, sorted by path, each once, none
-    of them below ``output``.  Raises where there is none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(inputs)
-    found = files.select("path", "length").where(F.lower(F.element_at(F.split("path", "[.]"), -1)).isin(*VIDEO))
-    if not recursive:  # files of the folders themselves
-        folders = [i.rstrip("/") for i in inputs]
-        own = F.regexp_replace("path", "/[^/]*$", "")
-        found = found.where(F.exists(F.array(*map(F.lit, folders)), lambda f: own.endswith(f)))
-    found = found.where(~F.contains("path", F.lit(output.rstrip("/") + "/"))).distinct().orderBy("path")
+    """(path, length) of inputs sorted by path, each once: the videos of folders,
+    but for those below ``output``, and files that are named themselves whatever
+    their suffix.  Raises where a named file lies below ``output``, and where
+    nothing is found."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def is_file(path: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).getFileStatus(at).isFile()
+
+    below = output.rstrip("/") + "/"
+    named = [i for i in inputs if is_file(i)]
+    folders = [i.rstrip("/") for i in inputs if i not in named]
+    if any(i.startswith(below) for i in named):
+        raise ValueError("an input lies in the output folder")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    parts = []
+    if folders:
+        found = reader.load(folders).select("path", "length")
+        found = found.where(F.lower(F.element_at(F.split("path", "[.]"), -1)).isin(*VIDEO))
+        if not recursive:  # files of the folders themselves
+            own = F.regexp_replace("path", "/[^/]*$", "")
+            found = found.where(F.exists(F.array(*map(F.lit, folders)), lambda f: own.endswith(f)))
+        parts.append(found.where(~F.contains("path", F.lit(below))))
+    if named:
+        parts.append(reader.load(named).select("path", "length"))
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    found = found.distinct().orderBy("path")
     if found.isEmpty():
         raise ValueError("no input videos")
     return found

@@ -19,8 +19,11 @@ def test_discovery(spark, tmp_path):
     assert names(readers.discover(spark, [str(tmp_path)], str(tmp_path / "out"))) == ["a.MP4", "e.ts"]
     deep = readers.discover(spark, [str(tmp_path)], str(tmp_path / "out"), recursive=True)
     assert names(deep) == ["a.MP4", "e.ts", "c.mkv"]
-    with pytest.raises(ValueError):
-        readers.discover(spark, [str(tmp_path / "sub")], str(tmp_path / "sub")).count()
+    both = [str(tmp_path), str(tmp_path / "b.txt"), str(tmp_path / "e.ts")]
+    assert names(readers.discover(spark, both, str(tmp_path / "out"))) == ["a.MP4", "b.txt", "e.ts"]
+    for bad in ([str(tmp_path / "sub")], [str(tmp_path / "sub" / "c.mkv")]):
+        with pytest.raises(ValueError):
+            readers.discover(spark, bad, str(tmp_path / "sub")).count()
 
 
 @pytest.mark.parametrize(
