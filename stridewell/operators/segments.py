@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridewell.functions import rational
-from stridewell.operators.change import MIN_CHANGE, PIXEL, pixel_cuts
+from stridewell.operators.change import MIN_CHANGE, PIXEL
 from stridewell.registry import query
 from stridewell.sources.frames import by_frame, CHANGES, FRAMES, changes, frames
 
@@ -183,16 +183,3 @@ def q47_thumbnail_requests(spark, sf_dir):
         "source_id", "n", F.explode(F.expr("sequence(frame - 2, frame + 1)")).alias("frame")
     )
     return near.where("frame between 0 and n - 1").select("source_id", "frame").distinct()
-
-
-@query(f"""WITH {CHANGES}, c AS (SELECT source_id, frame, row_number() OVER (PARTITION BY source_id
- ORDER BY frame) AS r FROM m WHERE frame > 0 AND mad >= {PIXEL}) SELECT a.source_id, a.frame AS start_frame,
- b.frame AS end_frame, (a.frame + b.frame) // 2 AS middle FROM c AS a JOIN c AS b
- ON a.source_id = b.source_id AND b.r = a.r + 1 WHERE b.frame - a.frame <= 3""")
-def q50_editorial_plan(spark, sf_dir):
-    """Short segments between two cuts collapse to one cut in their middle."""
-    c = pixel_cuts(changes(spark, sf_dir)).select("source_id", F.col("frame").alias("start_frame"))
-    after = F.lead("start_frame").over(Window.partitionBy("source_id").orderBy("start_frame"))
-    return c.withColumn("end_frame", after).where("end_frame - start_frame <= 3").selectExpr(
-        "source_id", "start_frame", "end_frame", "(start_frame + end_frame) div 2 as middle"
-    )

@@ -165,6 +165,45 @@ def q26_transition_decisions(spark, sf_dir):
     )
 
 
+#: What a plan does with scenes to review: collapse every other one.
+PLANNED = "CASE WHEN class = 'ordinary' THEN 'keep' WHEN number % 2 = 0 THEN 'collapse' WHEN number % 3 = 0 THEN 'omit' ELSE 'keep' END"
+
+
+@query(f"""WITH {EXTREMES}, ac AS (SELECT source_id, number, start_frame, start_frame + frames AS end_frame, {PLANNED} AS action,
+ lag(number) OVER w AS before, lead(number) OVER w AS after FROM tr WINDOW w AS (PARTITION BY source_id ORDER BY number)),
+ co AS (SELECT *, action = 'collapse' AND before IS NOT NULL AND after IS NOT NULL AS gone FROM ac),
+ nb AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY source_id ORDER BY number), false) AS gone_before FROM co),
+ bo AS (SELECT source_id, start_frame AS cut FROM nb WHERE NOT gone AND NOT gone_before UNION SELECT source_id, (start_frame + end_frame) // 2
+ FROM nb WHERE gone), en AS (SELECT source_id, max(end_frame) AS n FROM nb GROUP BY source_id),
+ pc AS (SELECT source_id, cut AS start_frame, coalesce(lead(cut) OVER (PARTITION BY source_id ORDER BY cut), n) AS end_frame FROM bo JOIN en
+ USING (source_id)) SELECT * FROM pc WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.source_id = pc.source_id AND action = 'omit'
+ AND nb.start_frame >= pc.start_frame AND nb.start_frame < pc.end_frame)""")
+def q50_editorial_plan(spark, sf_dir):
+    """The ranges that an editorial plan keeps.  A collapsed scene between two
+    others loses both its boundaries and gets one in its middle; an omitted one
+    goes, with what a collapsed neighbour left it.  Ranges that are not omitted
+    cover the source exactly."""
+    w = Window.partitionBy("source_id").orderBy("number")
+    c = classified(spark, sf_dir).selectExpr(
+        "source_id", "number", "start_frame", "start_frame + frames as end_frame", f"{PLANNED} as action"
+    )
+    inner = F.lag("number").over(w).isNotNull() & F.lead("number").over(w).isNotNull()
+    c = c.withColumn("gone", (F.col("action") == "collapse") & inner)
+    c = c.withColumn("gone_before", F.coalesce(F.lag("gone").over(w), F.lit(False)))
+    c = c.withColumn("n", F.max("end_frame").over(Window.partitionBy("source_id")))
+    marks = F.expr(
+        "filter(array(if(gone, struct((start_frame + end_frame) div 2 as at, 0 as kind), if(gone_before, null,"
+        " struct(start_frame as at, 0 as kind))), if(action = 'omit', struct(start_frame as at, 1 as kind), null)), x -> x is not null)"
+    )
+    m = c.select("source_id", "n", F.explode(marks).alias("m")).select("source_id", "n", "m.at", "m.kind")
+    order = Window.partitionBy("source_id").orderBy("at", "kind")
+    m = m.withColumn("piece", F.sum(1 - F.col("kind")).over(order))
+    pieces = m.groupBy("source_id", "piece", "n").agg(F.min("at").alias("start_frame"), F.max("kind").alias("omitted"))
+    after = F.lead("start_frame").over(Window.partitionBy("source_id").orderBy("piece"))
+    pieces = pieces.withColumn("end_frame", F.coalesce(after, F.col("n")))
+    return pieces.where("omitted = 0").select("source_id", "start_frame", "end_frame")
+
+
 @query(f"WITH {EXTREMES}, {WRITTEN} SELECT source_id, pos, said, error FROM st WHERE error IS NOT NULL")
 def q58_override_errors(spark, sf_dir):
     return overrides(spark, classified(spark, sf_dir)).where("error is not null").select(
