@@ -42,8 +42,13 @@ def states(f):
     """One row a job, of all jobs: what its log adds up to.  Aggregates that do
     not depend on the order of rows: the first end and the last phase are the
     least and greatest by frame."""
-    jobs = f.select("source_id").distinct()
-    e = log(f).withColumn("outcome", F.when(F.col("ends"), F.expr(OUTCOME)))
+    return fold(f.select("source_id").distinct(), log(f))
+
+
+def fold(jobs, events):
+    """The state of each of ``jobs`` by rows of its log (source_id, frame,
+    event, ends, recovered, reason_code, phase, observed_bytes)."""
+    e = events.withColumn("outcome", F.when(F.col("ends"), F.expr(OUTCOME)))
     folded = e.groupBy("source_id").agg(
         F.count("*").alias("n_events"),
         F.count_if("recovered").alias("recovered"),
