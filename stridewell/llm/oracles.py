@@ -1,6 +1,8 @@
 """Contracts of the queries as DuckDB SQL, stated without any of the methods:
 every window, pair or match is formed.  For tables of a few thousand rows."""
 
+from stridewell.llm import licences
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROWS = "d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, coalesce(text, '') AS text FROM documents)"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -72,7 +74,44 @@ NEAR = f"""WITH RECURSIVE {ROWS}, dw AS (SELECT rid, doc_id, regexp_extract_all(
  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
  FROM st JOIN c ON c.rid = st.rid"""
 
+
+
+def _licences() -> str:
+    listed = ", ".join(
+        f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licences.TEMPLATES)
+    )
+    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    low = licences.CUT - licences.SLACK
+    return f"""WITH {ROWS}, t0(k, licence, body) AS (VALUES {listed}),
+ tw AS (SELECT k, licence, {words.format("body")} AS w FROM t0),
+ tg AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] AS g FROM (SELECT k, w, unnest(range(1, len(w))) AS i FROM tw)),
+ t AS (SELECT tw.k, any_value(licence) AS licence, any_value(len(w)) - 1 AS m, count(*) AS size,
+ greatest(1, ceil(count(*) * {low} / {2 - low} - 1e-9)) AS need FROM tw JOIN tg ON tg.k = tw.k GROUP BY tw.k),
+ dl AS (SELECT rid, doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM d),
+ lw AS (SELECT rid, j, {words.format("lines[j]")} AS w FROM (SELECT rid, lines, unnest(range(1, len(lines) + 1)) AS j FROM dl)),
+ la AS (SELECT rid, j, len(w) AS c, coalesce(sum(len(w)) OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND
+ 1 PRECEDING), 0) AS first FROM lw),
+ wo AS (SELECT lw.rid, first + i AS pos, w[i] AS word FROM (SELECT rid, j, w, unnest(range(1, len(w) + 1)) AS i FROM lw) AS lw
+ JOIN la ON la.rid = lw.rid AND la.j = lw.j),
+ b AS (SELECT rid, pos - 1 AS pos, word || ' ' || after AS g FROM (SELECT *, lead(word) OVER (PARTITION BY rid ORDER BY pos) AS after
+ FROM wo) WHERE after IS NOT NULL), bn AS (SELECT rid, count(*) AS n FROM b GROUP BY rid),
+ near AS (SELECT b.rid, tg.k FROM b JOIN tg USING (g) JOIN t ON t.k = tg.k GROUP BY b.rid, tg.k, t.need HAVING count(DISTINCT g) >= t.need),
+ u AS (SELECT near.rid, k, 0 AS s, n FROM near JOIN bn USING (rid) UNION SELECT near.rid, k, first, c - 1 FROM near JOIN la USING (rid)
+ WHERE c >= 2 UNION SELECT rid, k, unnest(range(0, n - m + 1)), m FROM near JOIN bn USING (rid) JOIN t USING (k) WHERE n >= m),
+ x AS (SELECT u.rid, u.k, u.s, u.s + u.n AS e, count(DISTINCT b.g) AS own, count(DISTINCT tg.g) AS shared FROM u JOIN b ON b.rid = u.rid
+ AND b.pos >= u.s AND b.pos < u.s + u.n LEFT JOIN tg ON tg.k = u.k AND tg.g = b.g GROUP BY u.rid, u.k, u.s, u.n),
+ h AS (SELECT rid, s, e, round(2.0::DOUBLE * shared / (own + size), 6) AS dice, k, licence FROM x JOIN t USING (k)
+ WHERE round(2.0::DOUBLE * shared / (own + size), 6) >= {licences.CUT}),
+ f AS (SELECT rid, list_reduce(list_concat([[0.0::DOUBLE, -1, 0]], list([s::DOUBLE, e, dice] ORDER BY s, e, dice, k)), lambda a, y:
+ CASE WHEN len(a) = 0 THEN a WHEN y[1] > a[2] THEN [a[1] + 1, y[2], y[3]] WHEN y[3] > a[3] OR (y[3] = a[3] AND y[2] > a[2])
+ THEN [a[1], y[2], y[3]] ELSE a END) AS r, arg_max(licence, dice * 1000000 - k / 1000.0) AS licence, max(dice) AS dice,
+ array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences FROM h GROUP BY rid)
+ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(CAST(r[1] AS BIGINT), 0) AS n_matched, licence, dice,
+ coalesce(licences, '') AS licences FROM dl LEFT JOIN f ON f.rid = dl.rid"""
+
+
 ORACLES = {
+    "op8_licences": _licences(),
     "op4_secrets": _secrets(),
     "op5_decontamination": DECONTAMINATION,
     "op9_substring": SUBSTRING,
