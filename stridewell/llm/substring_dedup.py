@@ -10,6 +10,11 @@ and one of its survivors back to their documents; no document is ever expanded
 into rows.  The last two levels share a shuffle: a target window is dealt by the
 hash of the window of the level before that it begins with, so both levels meet
 in one task.
+
+A passage that a great part of all documents share would bring its hashes' rows
+to one task each.  Such hashes, a bounded number, are found by a pass without a
+shuffle and never sent: short ones count as repeated, and a second such pass
+gives the smallest document of each target window among them.
 """
 
 from __future__ import annotations
@@ -44,6 +49,13 @@ FOLD = 4_000_000
 SEND = 2_000_000
 
 
+#: A hash is hot if this part of all documents has it, and no fewer than so many;
+#: at most so many hot ones are treated apart, the rest go the common way.
+HOT_PART, HOT_LEAST, HOT_MOST = 256, 1000, 4096
+#: Hashes that a task counts at once, and those that it gives.
+COUNTED, GIVEN = 200_000, 2048
+
+
 def levels(start: int, target: int) -> list[int]:
     out = [start]
     while out[-1] < target:
@@ -143,7 +155,87 @@ def _slices(batch, target: int):
         yield _Slice(lo, data, offsets, target)
 
 
-def _first_level(k: int, target: int, buckets: int):
+def _among(hot: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted ``hot``, and at which place."""
+    if not len(hot):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return hot[at] == keys, at
+
+
+def _frequent(k: int, target: int):
+    """Per task, the hashes of sampled short windows (kind 0) and of target
+    windows (kind 1) that are most frequent.  Counts are estimates: what they
+    call hot is a matter of cost alone, as a hot hash that does not repeat
+    removes nothing."""
+
+    def run(batches):
+        kept = [(np.zeros(0, U), np.zeros(0, np.int64)) for _ in range(2)]
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            for x in _slices(batch, target):
+                for kind, keys in enumerate((x.sampled(k), x.begun(target))):
+                    if not len(keys):
+                        continue
+                    fresh = np.ones(len(keys), bool)  # neighbours mostly share theirs
+                    fresh[1:] = (keys[1:] != keys[:-1]) | (x.own[1:] != x.own[:-1])
+                    new, n = np.unique(keys[fresh], return_counts=True)
+                    old, m = kept[kind]
+                    new, n = new[n > 1], n[n > 1]
+                    both, at = np.unique(np.concatenate([old, new]), return_inverse=True)
+                    count = np.bincount(at, np.concatenate([m, n]), len(both)).astype(np.int64)
+                    if len(both) > COUNTED:
+                        top = np.argsort(-count, kind="stable")[: COUNTED // 2]
+                        both, count = both[top], count[top]
+                    kept[kind] = both, count
+        for kind, (key, n) in enumerate(kept):
+            top = np.argsort(-n, kind="stable")[:GIVEN]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(top), kind, np.int32)), pa.array(key[top].view(np.int64)), pa.array(n[top])],
+                ["kind", "key", "n"],
+            )
+
+    return run
+
+
+def _smallest(target: int, hot: np.ndarray):
+    """Per task, the smallest document of each hot target window."""
+
+    def run(batches):
+        least = np.full(len(hot), np.iinfo(np.int64).max)
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for x in _slices(batch, target):
+                found, at = _among(hot, x.begun(target))
+                np.minimum.at(least, at[found], ids[x.lo + x.own[found]])
+        some = least < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hot[some].view(np.int64)), pa.array(least[some])], ["key", "least"]
+        )
+
+    return run
+
+
+def _hot(texts: DataFrame, k: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hot hashes of short windows, of target windows, and the smallest document
+    of each of these.  A hot hash that is missed goes the common way."""
+    none = np.zeros(0, U)
+    many = max(HOT_LEAST, texts.count() // HOT_PART)
+    told = texts.mapInArrow(_frequent(k, target), "kind int, key long, n long")
+    told = told.groupBy("kind", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= many)
+    rows = told.orderBy(F.desc("n"), "kind", "key").limit(2 * HOT_MOST).collect()
+    short, long = (
+        np.sort(np.array([r.key for r in rows if r.kind == kind][:HOT_MOST], np.int64).view(U)) for kind in (0, 1)
+    )
+    if not len(long):
+        return short, none, np.zeros(0, np.int64)
+    found = texts.mapInArrow(_smallest(target, long), "key long, least long")
+    smallest = {r.key: r.least for r in found.groupBy("key").agg(F.min("least").alias("least")).collect()}
+    return short, long, np.array([smallest[x] for x in long.view(np.int64).tolist()], np.int64)
+
+
+def _first_level(k: int, target: int, buckets: int, hot: np.ndarray):
     def run(batches):
         for batch in batches:
             known = batch.column("doc_id").is_valid()
@@ -154,6 +246,7 @@ def _first_level(k: int, target: int, buckets: int):
                 keys = x.sampled(k)
                 new = np.ones(len(keys), bool)  # neighbours mostly share theirs
                 new[1:] = (keys[1:] != keys[:-1]) | (x.own[1:] != x.own[:-1])
+                new &= ~_among(hot, keys)[0]
                 out[0].append(ids[x.lo + x.own[new]])
                 out[1].append(keys[new])
                 out[2].append(np.zeros(int(new.sum()), np.uint32))
@@ -273,20 +366,29 @@ def _with_survivors(batches):
                 alive[int(doc[a])].append(key[a:b])
 
 
-def _next_level(k: int, wider: int, first: bool, target: int, buckets: int, final: bool):
+def _next_level(
+    k: int, wider: int, first: bool, target: int, buckets: int, final: bool, short: np.ndarray, long: np.ndarray
+):
     """Around the windows of k words that survived, those of ``wider`` words; at
-    the last level with the target window that each begins."""
+    the last level with the target window that each begins.  Hot short windows
+    survive, hot target windows are not sent."""
 
     def run(batches):
         out: tuple[list, list, list] = ([], [], [])
         count = 0
         for batch, alive in _with_survivors(batches):
             ids = batch.column("doc_id").to_pylist()
-            batch = batch.filter(pa.array([x in alive for x in ids], pa.bool_()))
-            ids = [x for x in ids if x in alive]
+            every = first and len(short) > 0
+            batch = batch.filter(pa.array([x is not None and (every or x in alive) for x in ids], pa.bool_()))
+            ids = [x for x in ids if x is not None and (every or x in alive)]
             number = np.array(ids, np.int64)
             for x in _slices(batch, target):
-                live = x.alive(x.sampled(k) if first else x.begun(k), ids, alive)
+                keys = x.sampled(k) if first else x.begun(k)
+                live = x.alive(keys, ids, alive)
+                if first:
+                    live |= _among(short, keys)[0]
+                if final:
+                    live &= ~_among(long, x.begun(target))[0]
                 out[0].append(number[x.lo + x.own[live]])
                 out[1].append(x.begun(wider)[live])
                 out[2].append(x.begun(target)[live] if final else x.second(wider)[live])
@@ -299,13 +401,19 @@ def _next_level(k: int, wider: int, first: bool, target: int, buckets: int, fina
     return run
 
 
-def _remove(target: int):
+def _remove(target: int, long: np.ndarray, least: np.ndarray):
     def run(batches):
         for batch, alive in _with_survivors(batches):
             ids = batch.column("doc_id").to_pylist()
+            lowest = np.iinfo(np.int64).min
+            number = np.array([lowest if i is None else i for i in ids], np.int64)
             n_words, n_removed, digests, texts = [], [], [], []
             for x in _slices(batch, target):
-                hit = x.at[x.alive(x.begun(target), ids, alive)]
+                keys = x.begun(target)
+                gone = x.alive(keys, ids, alive)
+                hot, place = _among(long, keys)
+                gone[hot] |= number[x.lo + x.own[hot]] > least[place[hot]]
+                hit = x.at[gone]
                 n = len(x.starts)
                 edge = np.bincount(hit, minlength=n + 1) - np.bincount(
                     hit + target, minlength=n + 1
@@ -387,14 +495,15 @@ def remove_repeats(
 
     while len(steps) < 3:  # a short target: its own level is the one before, too
         steps.append(target)
-    now = reduced(texts.mapInArrow(_first_level(steps[0], target, buckets), PACKED), False)
+    short, long, least = _hot(texts, steps[0], target)
+    now = reduced(texts.mapInArrow(_first_level(steps[0], target, buckets, short), PACKED), False)
     for i, (k, wider) in enumerate(zip(steps, steps[1:-1])):
         final = i == len(steps) - 3
         now = reduced(
-            met(now).mapInArrow(_next_level(k, wider, i == 0, target, buckets, final), PACKED), final
+            met(now).mapInArrow(_next_level(k, wider, i == 0, target, buckets, final, short, long), PACKED), final
         )
     out = met(now).mapInArrow(
-        _remove(target),
+        _remove(target, long, least),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
     )
     return out if with_text else out.drop("kept_text")

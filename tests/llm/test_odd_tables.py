@@ -133,3 +133,21 @@ def test_pixel_arrays_of_odd_images(spark):
     got = media.pixel_arrays(spark.createDataFrame(rows, "doc_id long, media binary, height int")).collect()
     assert [(r.doc_id, r.height, r.pixels, bool(r.error)) for r in got] == [(i, None, None, True) for i in (1, 2, 3)]
     assert np.array_equal([r.width for r in got], [None] * 3)
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_passages_that_most_documents_share(spark, monkeypatch, most):
+    """Hot windows go their own way, all of them or only a few."""
+    rng = random.Random(21)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 8)
+    monkeypatch.setattr(substring_dedup, "HOT_MOST", most)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(0, 60))]
+        cut = passage[rng.randrange(8) :] if i % 3 else []
+        at = rng.randrange(len(own) + 1)
+        rows.append((1000 - i * 7 % 120, " ".join(own[:at] + cut + own[at:] + (["x"] * 30 if i % 4 == 0 else []))))
+    rows += [(None, " ".join(passage)), (5, None), rows[3], (1, " ".join(passage[:13]))]
+    got = substring_dedup.remove_repeats(table(spark, [(d, t, "en", "a") for d, t in rows]))
+    same(got, brute.substring(rows), ["doc_id", "n_words", "n_removed", "kept_sha256"])
