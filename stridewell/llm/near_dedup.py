@@ -439,7 +439,8 @@ def _components(
     blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("long")
     dealt = _in_blocks(signs, blocks).select("key", "p", "q", "rep", "comp", "n", "sign")
     stars = scratch.table(
-        _dealt(dealt, partitions_for(apart)).mapInArrow(_plausible_groups(percent), "u long, v long"),
+        # Buckets that share members give the same stars.
+        _dealt(dealt, partitions_for(apart)).mapInArrow(_plausible_groups(percent), "u long, v long").distinct(),
         "plausible",
     )
     scratch.drop("members", "tried")
