@@ -73,6 +73,20 @@ def low_ranks(df: DataFrame, hash_: Column, most: int) -> DataFrame:
     return ranked.where(F.col("rank") < int(share * RANKS))
 
 
+def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """Ints of which the k-th goes to partition k of ``repartition(n, key)``:
+    buckets named so are dealt one to a partition, where hashes of their numbers
+    would meet in some and miss others."""
+    tried = n * (12 + n.bit_length())
+    while True:
+        ids = spark.range(tried).select(F.col("id").cast("int").alias("key"))
+        first = ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("at")).agg(F.min("key").alias("key"))
+        rows = first.orderBy("at").collect()  # n rows
+        if len(rows) == n:
+            return np.array([r.key for r in rows], np.int32)
+        tried *= 2
+
+
 # --------------------------------------------------------------------------
 # decisions on rows
 

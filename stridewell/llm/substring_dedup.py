@@ -32,6 +32,7 @@ from stridewell.llm.common import (
     U,
     gram_hashes,
     mix,
+    partition_keys,
     partitions_for,
     text_slices,
     window_min,
@@ -78,21 +79,22 @@ def _unpack_ids(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, steps.astype(np.int64)]))
 
 
-def _send(ids: list, hashes: list, marks: list, bucket_of, buckets: int):
-    """Rows of packed triples, one per bucket that gets any."""
+def _send(ids: list, hashes: list, marks: list, bucket_of, buckets: np.ndarray):
+    """Rows of packed triples, one per bucket that gets any; ``buckets`` are the
+    keys by which they are dealt."""
     if not ids:
         return
     doc, key, mark = np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks)
     if len(doc) == 0:
         return
-    to = bucket_of(doc, key, buckets)
+    to = bucket_of(doc, key, len(buckets))
     order = np.argsort(to, kind="stable")
     doc, key, mark, to = doc[order], key[order], mark[order], to[order]
     cut = np.flatnonzero(np.diff(to, prepend=-1))
     ends = np.append(cut[1:], len(to))
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(to[cut], pa.int32()),
+            pa.array(buckets[to[cut]], pa.int32()),
             pa.array([_pack_ids(doc[a:b]) for a, b in zip(cut, ends)], pa.binary()),
             pa.array([key[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
             pa.array([mark[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
@@ -235,7 +237,7 @@ def _hot(texts: DataFrame, k: int, target: int) -> tuple[np.ndarray, np.ndarray,
     return short, long, np.array([smallest[x] for x in long.view(np.int64).tolist()], np.int64)
 
 
-def _first_level(k: int, target: int, buckets: int, hot: np.ndarray):
+def _first_level(k: int, target: int, buckets: np.ndarray, hot: np.ndarray):
     def run(batches):
         for batch in batches:
             known = batch.column("doc_id").is_valid()
@@ -255,7 +257,7 @@ def _first_level(k: int, target: int, buckets: int, hot: np.ndarray):
     return run
 
 
-def _repeated(buckets: int, final: bool):
+def _repeated(buckets: np.ndarray, final: bool):
     """Streams the packed rows of hash buckets and sends what repeats to its
     documents: every (document, hash) of a hash in two documents or more, at
     the last level but those of the smallest document.
@@ -313,15 +315,15 @@ def _repeated(buckets: int, final: bool):
     return run
 
 
-def _packed_texts(buckets: int):
+def _packed_texts(buckets: np.ndarray):
     """Texts by bucket of their document, compressed together: they cross the
     shuffle once a level, and pack far better than row by row."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            to = _by_doc(ids, None, buckets)
-            spread = np.arange(len(ids), dtype=np.int32) % buckets  # null ids meet nothing
+            to = _by_doc(ids, None, len(buckets))
+            spread = np.arange(len(ids), dtype=np.int32) % len(buckets)  # null ids meet nothing
             to = np.where(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), spread, to)
             order = np.argsort(to, kind="stable")
             batch, to = batch.take(pa.array(order)), to[order]
@@ -336,7 +338,7 @@ def _packed_texts(buckets: int):
                 bodies.append(sink.getvalue().to_pybytes())
             none = pa.nulls(len(cut), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cut], pa.int32()), none, none, pa.array(bodies, pa.binary())],
+                [pa.array(buckets[to[cut]], pa.int32()), none, none, pa.array(bodies, pa.binary())],
                 ["bucket", "docs", "hashes", "body"],
             )
 
@@ -367,7 +369,7 @@ def _with_survivors(batches):
 
 
 def _next_level(
-    k: int, wider: int, first: bool, target: int, buckets: int, final: bool, short: np.ndarray, long: np.ndarray
+    k: int, wider: int, first: bool, target: int, buckets: np.ndarray, final: bool, short: np.ndarray, long: np.ndarray
 ):
     """Around the windows of k words that survived, those of ``wider`` words; at
     the last level with the target window that each begins.  Hot short windows
@@ -476,7 +478,8 @@ def remove_repeats(
     level by 64 bits more.
     """
     spark = docs.sparkSession
-    buckets = partitions_for(docs, 16 << 20)
+    n = partitions_for(docs, 16 << 20)
+    buckets = partition_keys(spark, n)
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
@@ -488,10 +491,10 @@ def remove_repeats(
     def met(survivors: DataFrame) -> DataFrame:
         back = survivors.select("bucket", "docs", "hashes", F.lit(None).cast("binary").alias("body"))
         tagged = back.withColumn("tag", F.lit(0)).union(placed.withColumn("tag", F.lit(1)))
-        return tagged.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag")
+        return tagged.repartition(n, "bucket").sortWithinPartitions("bucket", "tag")
 
     def reduced(sent: DataFrame, final: bool) -> DataFrame:
-        return sent.repartition(buckets, "bucket").mapInArrow(_repeated(buckets, final), PACKED)
+        return sent.repartition(n, "bucket").mapInArrow(_repeated(buckets, final), PACKED)
 
     while len(steps) < 3:  # a short target: its own level is the one before, too
         steps.append(target)

@@ -151,3 +151,13 @@ def test_passages_that_most_documents_share(spark, monkeypatch, most):
     rows += [(None, " ".join(passage)), (5, None), rows[3], (1, " ".join(passage[:13]))]
     got = substring_dedup.remove_repeats(table(spark, [(d, t, "en", "a") for d, t in rows]))
     same(got, brute.substring(rows), ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+@pytest.mark.parametrize("n", [1, 4, 97])
+def test_keys_are_dealt_one_to_a_partition(spark, n):
+    from stridewell.llm.common import partition_keys
+
+    keys = partition_keys(spark, n).tolist()
+    rows = spark.createDataFrame([(k,) for k in keys], "bucket int").repartition(n, "bucket")
+    at = {r.bucket: r.at for r in rows.withColumn("at", F.spark_partition_id()).collect()}
+    assert [at[k] for k in keys] == list(range(n))
