@@ -230,12 +230,12 @@ def q87_exact_arithmetic(spark, sf_dir):
     """Microseconds rounded up and at least one, closeness within a tick by
     cross-multiplication, and decimal text for hints only."""
     x = read(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey", "cast(l_quantity as bigint) - 1 as num",
+        "l_orderkey", "l_linenumber", "l_partkey", "cast(rint(l_quantity) as bigint) - 1 as num",
         "cast(l_suppkey * 3 + 1 as bigint) as den",
     )
-    return x.selectExpr(
+    return rational.with_text(x, "cast(num as double) / den", "decimal_text").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey",
         f"greatest(1, {rational.ceil_div('num * 1000000', 'den')}) as micros",
         "abs(num * 3 - den) * 90000 <= greatest(90000 div den, 3) as within_tick",
-        "format_string('%.12f', cast(num as double) / den) as decimal_text",
+        "decimal_text",
     )
