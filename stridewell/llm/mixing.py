@@ -5,8 +5,8 @@ the cells until the token shares of each marginal are the target's; a
 document's probability is its cell's factor, calibrated so that the expected
 tokens meet the budget, and a hash of its id decides.
 
-Topics are learned: spherical k-means over hashed word counts of a bounded
-sample gives centres, and every document goes to the nearest one.
+Topics are learned: spherical k-means over the hashed word counts of all texts
+gives centres, and every document goes to the nearest one.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stridewell.llm.common import LOWER, NOT_SPACE, Scratch, U, low_ranks, text_slices, word_hashes, words
+from stridewell.llm.common import LOWER, NOT_SPACE, Scratch, U, low_ranks, text_slices, totals, word_hashes, words
 
 AXES = ("source", "lang", "topic")
 #: Cells above this count are raked by distributed steps instead of in memory.
 CELLS_IN_MEMORY = 200_000
-#: Topics, hashed features of a text, and texts that topics are learned from.
-TOPICS, FEATURES, SAMPLE = 8, 256, 2000
+#: Topics, hashed features of a text, and texts that topics are learned from (all).
+TOPICS, FEATURES, SAMPLE = 8, 256, None
+#: Steps of a feature and of a centre in one.  On these grids sums and products
+#: are whole numbers that doubles hold exactly, in whatever order they are added.
+GRID, FINE = 1 << 15, 1 << 30
+#: Rounds of k-means at most.
+TOPIC_ROUNDS = 20
 #: Raking ends, in memory or distributed, at this residual or after these rounds.
 CLOSE = 1e-10
 ROUNDS = 1000
@@ -34,47 +39,134 @@ ROUNDS = 1000
 
 def word_profiles(column: pa.Array):
     """Per text: number of words and the roots of its hashed word counts, of
-    length one (zero without words)."""
+    length one (zero without words), rounded to the grid."""
     for lo, hi, data, offsets in text_slices(column):
         data = LOWER[data]
         starts, ends, first = words(data, offsets, NOT_SPACE)
         at = (word_hashes(data, starts, ends) % U(FEATURES)).astype(np.int64)
         at += np.repeat(np.arange(hi - lo), np.diff(first)) * FEATURES
         x = np.sqrt(np.bincount(at, minlength=(hi - lo) * FEATURES).reshape(-1, FEATURES))
-        yield np.diff(first), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def learn_topics(docs: DataFrame, topics: int = TOPICS, most: int = SAMPLE) -> np.ndarray:
-    """Centres of ``topics`` groups of at most ``most`` texts, those of least
-    hash of id and text (a documented bound).  Groups begin as equal parts along
-    the first principal direction, ties in order of the features.  Null and
-    wordless texts teach nothing; without any the one centre is zero."""
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    chosen = low_ranks(known, F.xxhash64("doc_id", "text"), most).orderBy("rank", "doc_id").limit(most)
-
-    def features(batches):
-        for batch in batches:
-            for _, x in word_profiles(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["x"])
-
-    rows = chosen.select("text").mapInArrow(features, "x array<double>").toPandas()["x"].tolist()
-    x = np.array(sorted(tuple(r) for r in rows)).reshape(-1, FEATURES)
-    x = x[np.abs(x).sum(1) > 0]
-    if not len(x):
-        return np.zeros((1, FEATURES))
-    values, directions = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(FEATURES))
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        yield np.diff(first), np.round(x * GRID) / GRID
+
+
+def _blocks(batches):
+    """Texts with words, a row a block: ends of the texts' entries, and the
+    entries' features (FEATURES is 256) and values in steps of the grid."""
+    for batch in batches:
+        for n, x in word_profiles(batch.column("text")):
+            x = x[n > 0]
+            row, at = np.nonzero(x)
+            ends = np.searchsorted(row, np.arange(len(x)), "right").astype(np.int32)
+            parts = (ends, at.astype(np.uint8), (x[row, at] * GRID).astype(np.uint16))
+            yield pa.RecordBatch.from_pydict(dict(zip(("ends", "at", "value"), ([p.tobytes()] for p in parts))))
+
+
+def _matrices(batch: pa.RecordBatch):
+    """The blocks of a batch as matrices of whole numbers, a row a text."""
+    for ends, at, value in zip(*(batch.column(c) for c in ("ends", "at", "value"))):
+        ends = np.frombuffer(ends.as_buffer(), np.int32)
+        x = np.zeros((len(ends), FEATURES))
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        x[row, np.frombuffer(at.as_buffer(), np.uint8)] = np.frombuffer(value.as_buffer(), np.uint16)
+        yield x
+
+
+def _group_sums(blocks: DataFrame, groups: int, of) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in each group, and sums of their features in steps of the grid;
+    ``of`` gives the groups of a matrix's rows."""
+
+    def count(batch):
+        out = np.zeros((groups, FEATURES + 1), np.int64)
+        for x in _matrices(batch):
+            one = (np.arange(groups)[:, None] == of(x)).astype(float)
+            out[:, :-1] += (one @ x).astype(np.int64)
+            out[:, -1] += one.sum(1).astype(np.int64)
+        return out.ravel()
+
+    sums = totals(blocks, count).reshape(groups, FEATURES + 1)
+    return sums[:, -1], sums[:, :-1]
+
+
+def _fine(centres: np.ndarray) -> np.ndarray:
+    return np.round(centres * FINE) / FINE
+
+
+def _first_centres(blocks: DataFrame, topics: int) -> np.ndarray | None:
+    """Means of ``topics`` equal parts of all texts along their first principal
+    direction; texts at one place that parts share are shared in proportion.
+    None without texts."""
+    upper = np.triu_indices(FEATURES)
+
+    def moments(batch):
+        out = np.zeros(len(upper[0]) + FEATURES + 1, np.int64)
+        for x in _matrices(batch):
+            out += np.concatenate([(x.T @ x)[upper], x.sum(0), [len(x)]]).astype(np.int64)
+        return out
+
+    sums = totals(blocks, moments)
+    if sums is None or not sums[-1]:
+        return None
+    n, first = int(sums[-1]), sums[-1 - FEATURES : -1] / GRID
+    square = np.zeros((FEATURES, FEATURES))
+    square[upper] = sums[: len(upper[0])] / GRID**2
+    square += np.triu(square, 1).T
+    values, directions = np.linalg.eigh(square - np.outer(first, first) / n if n > 1 else np.eye(FEATURES))
     line = directions[:, values.argmax()]
-    line *= np.sign(line[np.abs(line).argmax()])
-    parts = np.array_split(np.argsort(np.round(x @ line, 9), kind="stable"), min(topics, len(x)))
-    centres = np.array([x[k].mean(0) for k in parts])
-    for _ in range(20):
-        own = (x @ centres.T).argmax(1)
-        moved = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
-        if np.abs(moved - centres).max() < 1e-9:
-            break
+    line = np.round(line * np.sign(line[np.abs(line).argmax()]) * GRID)
+
+    def places(x):
+        return (x @ line).astype(np.int64) + (1 << 31)  # below 1 << 32
+
+    k = min(topics, n)
+    cut = np.cumsum([0] + [n // k + (j < n % k) for j in range(k)])
+    # The place of each part's first text, eleven bits at a time.
+    at, below = np.zeros(k - 1, np.int64), np.zeros(k - 1, np.int64)
+    for shift in (22, 11, 0) if k > 1 else ():
+
+        def bins(batch, at=at, shift=shift):
+            out = np.zeros((k - 1, 1 << 11), np.int64)
+            for x in _matrices(batch):
+                for j, own in enumerate((places(x)[None, :] - at[:, None]) >> shift):
+                    out[j] += np.bincount(own[(own >= 0) & (own < 1 << 11)], minlength=1 << 11)
+            return out.ravel()
+
+        up_to = below[:, None] + np.cumsum(totals(blocks, bins).reshape(k - 1, -1), axis=1)
+        found = np.array([np.searchsorted(u, c, "right") for u, c in zip(up_to, cut[1:-1])])
+        at, below = at + (found << shift), np.where(found > 0, up_to[np.arange(k - 1), found - 1], below)
+    at = np.unique(at)
+    # Groups: between these places, and on each of them.
+    size, features = _group_sums(
+        blocks, 2 * len(at) + 1, lambda x: np.searchsorted(at, places(x)) + np.searchsorted(at, places(x), "right")
+    )
+    end = np.cumsum(size)
+    both = np.minimum(cut[1:, None], end) - np.maximum(cut[:-1, None], end - size)
+    share = np.maximum(both, 0) / np.maximum(size, 1)
+    return _fine(share @ features / GRID / np.diff(cut)[:, None])
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, most: int | None = SAMPLE) -> np.ndarray:
+    """Centres of ``topics`` groups of all texts, or of at most ``most``, those of
+    least hash of id and text, where a caller says so.  Texts are hashed once and
+    their profiles written; each round, TOPIC_ROUNDS at most, adds up all of them
+    in tasks.  Null and wordless texts teach nothing; without any the one centre
+    is zero."""
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    if most is not None:
+        known = low_ranks(known, F.xxhash64("doc_id", "text"), most).orderBy("rank", "doc_id").limit(most)
+    scratch = Scratch(docs.sparkSession, "topics")
+    blocks = scratch.table(known.select("text").mapInArrow(_blocks, "ends binary, at binary, value binary"), "profiles")
+    centres = _first_centres(blocks, topics)
+    for _ in range(TOPIC_ROUNDS if centres is not None else 0):
+        size, sums = _group_sums(blocks, len(centres), lambda x, at=centres.T: (x @ at).argmax(1))
+        moved = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None] / GRID, centres)
+        moved = _fine(moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12))
+        still = np.abs(moved - centres).max() < 1e-9
         centres = moved
-    return centres
+        if still:
+            break
+    scratch.drop("profiles")
+    return np.zeros((1, FEATURES)) if centres is None else centres
 
 
 def with_cells(docs: DataFrame, centres: np.ndarray, *also: str) -> DataFrame:
