@@ -28,6 +28,7 @@ from stridewell.llm.common import (
     NOT_SPACE,
     Scratch,
     U,
+    among,
     fresh,
     gram_hashes,
     mix,
@@ -489,17 +490,21 @@ def _components(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component: all columns, one
     document (the smallest id) per component, rows of null id kept; of rows
-    that repeat one id and text, one stays."""
+    that repeat one id and text, one stays.
+
+    What is to go, and which ids and texts are repeated, is written first, so
+    that whole rows are dealt once, and only repeated ones a second time.
+    """
     id_col = options.get("id_col", "doc_id")
     key = row_key(F.col(id_col), F.col(options.get("text_col", "text")))
-    gone = _components(docs, **options).where(~F.col("stands")).withColumnRenamed("node", "key")
+    found = _components(docs, **options).groupBy("doc_id", F.col("node").alias("key"))
+    found = found.agg(F.min("stands").alias("stands"), F.count("*").alias("n"))
+    found = found.where("not stands or (n > 1 and doc_id is not null)").select("doc_id", "key", "stands")
+    found = Scratch(docs.sparkSession, "near-one").table(found, "found")
+    left, again = without(docs, found, key, id_col), found.where("stands")
+    if again.isEmpty():
+        return left
     same, n = fresh(docs, "_key"), fresh(docs, "_n")
-    # Null ids are kept each, so they are dealt by their text, not as one group.
     order = Window.partitionBy(id_col, same).orderBy(F.xxhash64(*docs.columns))
-    return (
-        without(docs, gone, key, id_col)
-        .withColumn(same, key)
-        .withColumn(n, F.row_number().over(order))
-        .where((F.col(n) == 1) | F.col(id_col).isNull())
-        .drop(n, same)
-    )
+    once = among(docs, again, key, id_col).withColumn(same, key).withColumn(n, F.row_number().over(order))
+    return left.union(once.where(F.col(n) == 1).drop(n, same))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stridewell.llm import common, entries, quality
+from stridewell.llm import common, entries, near_dedup, quality
 
 
 @pytest.fixture
@@ -43,3 +43,18 @@ def test_quality_shuffles_no_text(spark, shuffles, tmp_path):
     assert found and not any("text" in x for x in found)
     beta = quality.fit(docs, labels)
     assert sorted(out.collect(), key=str) == sorted(quality.posterior(docs, beta).collect(), key=str)
+
+
+def test_near_dedup_deals_whole_rows_once(spark, shuffles):
+    texts = [" ".join(f"w{i % 17}x{k}" for k in range(12)) for i in range(40)]
+    rows = [(i, t, f"n{i}") for i, t in enumerate(texts)] + [(None, texts[0], "m"), (None, None, "m"), (99, None, "n")]
+    schema = "doc_id long, text string, note string"
+    out = near_dedup.keep_one(spark.createDataFrame(rows, schema))
+    assert sum({"text", "note"} <= x for x in shuffles(out)) == 1
+    want = sorted([*rows[:17], *rows[40:]], key=str)
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    # Repeated rows, also of ids that go, of which one stays; null ids stay each.
+    rows += [(3, texts[3], "n3"), (3, texts[3], "other"), (20, texts[20], "n20"), (99, None, "n"), (None, None, "m")]
+    out = sorted(map(tuple, near_dedup.keep_one(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert len(out) == len(want) + 1 and {x[:2] for x in out} == {x[:2] for x in want}
+    assert out.count((None, None, "m")) == 2 and sum(x[0] == 3 for x in out) == 1
