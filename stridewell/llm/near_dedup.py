@@ -180,6 +180,10 @@ def _verifier(k: int, percent: int):
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
+#: Ids that are broadcast to fetch their texts (8 bytes each, about 50 in memory).
+SENT_IDS = 2_000_000
+
+
 def _root(parent: dict[int, int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -365,7 +369,9 @@ def _components(
     met = reps.join(full, "key")
     score = met.groupBy("rep").agg(F.sum("c").alias("score"))
     members = scratch.table(met.join(score, "rep").select("key", "rep", "low", "n", "score"), "members")
-    wanted = members.select(F.col("rep").alias("node")).distinct()
+    wanted = scratch.table(members.select(F.col("rep").alias("node")).distinct(), "wanted")
+    if wanted.count() <= SENT_IDS:  # no text of others is shuffled
+        wanted = F.broadcast(wanted)
     held = scratch.table(  # from here on a node is the doc_id
         texts.join(wanted, "node", "left_semi")
         .where("doc_id is not null")

@@ -45,12 +45,19 @@ def test_quality_shuffles_no_text(spark, shuffles, tmp_path):
     assert sorted(out.collect(), key=str) == sorted(quality.posterior(docs, beta).collect(), key=str)
 
 
-def test_near_dedup_deals_whole_rows_once(spark, shuffles):
+def test_near_dedup_deals_whole_rows_once(spark, shuffles, monkeypatch):
     texts = [" ".join(f"w{i % 17}x{k}" for k in range(12)) for i in range(40)]
     rows = [(i, t, f"n{i}") for i, t in enumerate(texts)] + [(None, texts[0], "m"), (None, None, "m"), (99, None, "n")]
     schema = "doc_id long, text string, note string"
     out = near_dedup.keep_one(spark.createDataFrame(rows, schema))
-    assert sum({"text", "note"} <= x for x in shuffles(out)) == 1
+    found = shuffles(out)
+    assert sum({"text", "note"} <= x for x in found) == 1
+    # Texts of documents that meet no other are not fetched by a shuffle.
+    assert sum({"node", "text"} <= x for x in found) == 0
+    few = sorted(map(tuple, out.collect()), key=str)
+    monkeypatch.setattr(near_dedup, "SENT_IDS", -1)
+    assert sorted(map(tuple, near_dedup.keep_one(spark.createDataFrame(rows, schema)).collect()), key=str) == few
+    assert sum({"node", "text"} <= x for x in shuffles()) > 0
     want = sorted([*rows[:17], *rows[40:]], key=str)
     assert sorted(map(tuple, out.collect()), key=str) == want
     # Repeated rows, also of ids that go, of which one stays; null ids stay each.
